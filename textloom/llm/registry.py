@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, secrets, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_transport_stream": transport.op1_transport_stream,
     "op3_bpe": bpe.op3_bpe,
+    "op4_secrets": secrets.op4_secrets,
 }
 SQL: dict[str, str] = {}
