@@ -94,8 +94,12 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of non-space bytes, never across texts, and words before each text."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    word = ~space
+    return runs_of(~((data == 32) | ((data >= 9) & (data <= 13))), offsets)
+
+
+def runs_of(word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true values, never across texts, and runs before each text."""
+    data = word
     inner = offsets[1:-1]
     prev = np.empty(len(data), bool)
     prev[:1] = False
@@ -117,3 +121,23 @@ def each_batch(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> It
         step = max(1, -(-b.num_rows // n))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals of Latin-1 lowered."""
+    up = (data >= 65) & (data <= 90)
+    up[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    return data + up * np.uint8(32)
+
+
+def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ASCII letters and non-ASCII bytes, as runs_of gives them."""
+    low = data | np.uint8(32)
+    return runs_of(((low >= 97) & (low <= 122)) | (data >= 128), offsets)
+
+
+def coded_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A code for every word, and the distinct words (binary)."""
+    lengths = ends - starts
+    coded = binary_array(data[spread(starts, lengths)], np.concatenate([[0], np.cumsum(lengths)])).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, transport
+from . import bpe, language, secrets, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_stream": transport.op1_transport_stream,
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secrets.op4_secrets,
+    "op8_language_id": language.op8_language_id,
 }
 SQL: dict[str, str] = {}
