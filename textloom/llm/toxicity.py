@@ -102,7 +102,7 @@ def evidence(found: list[tuple[float, int, int]], tokens: int, rate: float, chan
     all together, and the number of significant segments."""
     size = math.log(max(1, tokens))
     kept = [x for x in found if math.exp(min(50.0, size - rate * x[0])) <= chance]
-    best = max((rate * x[0] - size for x in found), default=-size)
+    best = max((rate * x[0] - size for x in found), default=-10.0)
     gains = sorted((rate * x[0] - size for x in kept), reverse=True)
     # r segments of summed score: the sum statistic divides by r! for their order.
     both = sum(gains) + math.lgamma(len(gains) + 1) if gains else 0.0
