@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, secrets, toxicity, transport
+from . import bpe, language, mixing, secrets, toxicity, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_stream": transport.op1_transport_stream,
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secrets.op4_secrets,
+    "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language.op8_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
 }
