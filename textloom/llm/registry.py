@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, mixing, secrets, toxicity, transport
+from . import bpe, language, lines, mixing, secrets, toxicity, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_stream": transport.op1_transport_stream,
@@ -14,6 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": secrets.op4_secrets,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language.op8_language_id,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_line_dedup": lines.OP9_SQL,
+}
