@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lines, mixing, secrets, simhash, toxicity, transport
+from . import bpe, language, lines, mixing, neighbours, secrets, simhash, toxicity, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_stream": transport.op1_transport_stream,
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secrets.op4_secrets,
     "op5_simhash": simhash.op5_simhash,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language.op8_language_id,
     "op9_line_dedup": lines.op9_line_dedup,
