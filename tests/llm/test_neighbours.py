@@ -59,7 +59,7 @@ def test_copies_and_odd_rows(spark):
     rows = rows_of(130, 6, 4)
     r = random.Random(1)
     rows = [(i, rows[7][1] if r.random() < 0.5 else v) for i, v in rows]
-    rows += [(200, None), (220, [0.0] * 6), (240, [1.0, None, 0, 0, 0, 0]), (260, [float("nan")] * 6), (280, [float("inf")] * 6), (300, [1.0]), (20, rows[20][1]), (None, rows[1][1])]
+    rows += [(200, None), (220, [0.0] * 6), (240, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (260, [float("nan")] * 6), (280, [float("inf")] * 6), (300, [1.0]), (20, rows[20][1]), (None, rows[1][1])]
     df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<float>, rank int")
     got, want = result(nearest(df, df.where("vec_id % 20 = 0"))), brute(rows, set(range(0, 400, 20)))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}

@@ -42,6 +42,8 @@ class Settings:
     #: Beam of a query, all of which is expanded, and most hops.
     beam: int = 200
     hops: int = 12
+    #: Nodes of largest norm at which every search starts too: large inner products may lie far from the query itself.
+    entries: int = 64
     seed: int = 5
 
 
@@ -261,11 +263,15 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, se
     held = nodes.select(of("id"), F.lit(0).alias("what"), F.col("id").alias("one"), F.lit(0).cast("long").alias("two"), "vec", none)
     asked = cut(starts.join(nodes.select("id", "vec", "norm2"), starts["q"] == F.col("id")).select("q", "vec", "norm2"))
     beam = asked.select("q", F.col("q").alias("x"), F.col("norm2").alias("s"), F.lit(False).alias("done"), F.lit(0).alias("rank"))
+    tops = [r["id"] for r in nodes.orderBy(F.desc("norm2"), "id").select("id").limit(settings.entries).collect()]
     for hop in range(settings.hops):
         open_ = beam.where((~F.col("done")) & (F.col("rank") < settings.beam))
         if hop and open_.isEmpty():
             break
-        pairs = cut(open_.join(graph, open_["x"] == graph["u"]).select("q", graph["x"].alias("y")).distinct())
+        pairs = open_.join(graph, open_["x"] == graph["u"]).select("q", graph["x"].alias("y"))
+        if hop == 0 and tops:
+            pairs = pairs.unionByName(starts.select("q", F.explode(F.array(*(F.lit(i).cast("long") for i in tops))).alias("y")).where("y <> q"))
+        pairs = cut(pairs.distinct())
         floor = beam.groupBy("q").agg(F.when(F.count("*") >= width, F.min("s")).otherwise(F.lit(float("-inf"))).alias("least"))
         touched = pairs.select(of("y"), "q").distinct().join(asked, "q").join(floor, "q")
         rows = held.unionByName(touched.select("shard", F.lit(1).alias("what"), F.col("q").alias("one"), F.lit(0).cast("long").alias("two"), "vec", "least"))

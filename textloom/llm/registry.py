@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lines, mixing, neighbours, secrets, simhash, toxicity, transport
+from . import bpe, language, lines, mixing, neighbours, secrets, simhash, suffixes, toxicity, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_stream": transport.op1_transport_stream,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secrets.op4_secrets,
     "op5_simhash": simhash.op5_simhash,
