@@ -44,9 +44,10 @@ PSEUDO_TAG = """CASE WHEN {x} = '' THEN '.'
 
 
 def tagged(tokenised: DataFrame) -> DataFrame:
-    """Sentences with array `tagged` of (word, tag)."""
-    x = "btrim(lower(t), ',.?!;:\\'\"')"
-    return tokenised.withColumn("tagged", F.expr(f"transform(tokens, t -> struct(t as word, {PSEUDO_TAG.format(x=x)} as tag))"))
+    """Sentences with array `tagged` of (word, tag). The bare form is bound once for all rules."""
+    bare = "btrim(lower(t), ',.?!;:\\'\"')"
+    rules = PSEUDO_TAG.format(x="s.x")
+    return tokenised.withColumn("tagged", F.expr(f"transform(transform(tokens, t -> struct(t as word, {bare} as x)), s -> struct(s.word as word, {rules} as tag))"))
 
 
 def word_tag_counts(rows: DataFrame) -> DataFrame:
