@@ -39,9 +39,11 @@ class Settings:
     orders: int = 6
     block: int = 256
     rounds: int = 2
-    #: Beam of a query, all of which is expanded, and most hops.
+    #: Beam of a query, all of which is expanded in the end; best nodes looked at in the first hop (twice as many in each
+    #: that follows), and most hops.
     beam: int = 200
-    hops: int = 12
+    first: int = 8
+    hops: int = 20
     #: Nodes of largest norm at which every search starts too: large inner products may lie far from the query itself.
     entries: int = 64
     seed: int = 5
@@ -216,8 +218,9 @@ SHARD, PAIRS = 4096, 50_000
 def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, settings: Settings = Settings()) -> DataFrame:
     """(q, x, s): the beam of every start node q after a greedy search for its own vector; q itself is in it.
 
-    A hop joins the open nodes of all beams with the graph. The pairs (q, y) it reaches go to the shard of y, and each
-    query's vector goes once to each shard that it touches, with the score below which its beam takes nothing.
+    A hop joins the open nodes of all beams with the graph: those among the best few at first, of the whole beam later,
+    so that a beam is full of good nodes before it is expanded widely. The pairs (q, y) it reaches go to the shard of y,
+    and each query's vector goes once to each shard that it touches, with the score below which its beam takes nothing.
     """
     width = settings.beam + 1
 
@@ -265,8 +268,9 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, se
     beam = asked.select("q", F.col("q").alias("x"), F.col("norm2").alias("s"), F.lit(False).alias("done"), F.lit(0).alias("rank"))
     tops = [r["id"] for r in nodes.orderBy(F.desc("norm2"), "id").select("id").limit(settings.entries).collect()]
     for hop in range(settings.hops):
-        open_ = beam.where((~F.col("done")) & (F.col("rank") < settings.beam))
-        if hop and open_.isEmpty():
+        reach = min(settings.beam, settings.first << hop)
+        open_ = beam.where((~F.col("done")) & (F.col("rank") < reach))
+        if reach == settings.beam and open_.isEmpty():
             break
         pairs = open_.join(graph, open_["x"] == graph["u"]).select("q", graph["x"].alias("y"))
         if hop == 0 and tops:
@@ -277,7 +281,7 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, se
         rows = held.unionByName(touched.select("shard", F.lit(1).alias("what"), F.col("q").alias("one"), F.lit(0).cast("long").alias("two"), "vec", "least"))
         rows = rows.unionByName(pairs.select(of("y"), F.lit(2).alias("what"), F.col("q").alias("one"), F.col("y").alias("two"), blank, none))
         new = bounded(rows).repartition("shard").sortWithinPartitions("shard", "what").mapInArrow(scored, "q long, x long, s double")
-        old = beam.select("q", "x", "s", (F.col("done") | (F.col("rank") < settings.beam)).alias("done"))
+        old = beam.select("q", "x", "s", (F.col("done") | (F.col("rank") < reach)).alias("done"))
         new = new.select("q", "x", "s", F.lit(False).alias("done"))
         beam = cut(old.unionByName(new).repartition("q").sortWithinPartitions("q").mapInArrow(merged, "q long, x long, s double, done boolean, rank int"))
     return beam.select("q", "x", "s")
