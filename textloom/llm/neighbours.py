@@ -41,7 +41,7 @@ class Settings:
     rounds: int = 2
     #: Beam of a query, all of which is expanded in the end; best nodes looked at in the first hop (twice as many in each
     #: that follows), and most hops.
-    beam: int = 200
+    beam: int = 320
     first: int = 8
     hops: int = 20
     #: Nodes of largest norm at which every search starts too: large inner products may lie far from the query itself.
