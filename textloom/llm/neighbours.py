@@ -39,8 +39,8 @@ class Settings:
     orders: int = 6
     block: int = 256
     rounds: int = 2
-    #: Beam of a query, all of which is expanded in the end; best nodes looked at in the first hop (twice as many in each
-    #: that follows), and most hops.
+    #: Beam of a query, all of which is expanded in the end; best nodes looked at in the first hop (four times as many in
+    #: each that follows), and most hops.
     beam: int = 320
     first: int = 8
     hops: int = 20
@@ -210,7 +210,7 @@ def build_graph(nodes: DataFrame, kind: type, settings: Settings = Settings()) -
     return graph
 
 
-BEAM = pa.schema([("q", pa.int64()), ("x", pa.int64()), ("s", pa.float64()), ("done", pa.bool_()), ("rank", pa.int32())])
+BEAM = pa.schema([("q", pa.int64()), ("x", pa.int64()), ("s", pa.float64()), ("done", pa.bool_()), ("rank", pa.int32()), ("least", pa.float64())])
 #: Nodes of a shard, whose vectors one task holds at a time; pairs that it scores at a time.
 SHARD, PAIRS = 4096, 50_000
 
@@ -237,13 +237,14 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, se
                     order = at[w][np.argsort(one[at[w]], kind="stable")]
                     tables.append((one[order], matrix(vec.take(pa.array(order)), kind).astype(np.float64), least[order]))
                 (ids, v, _), (asked, w, low) = tables
+                # A pair met from several open nodes is scored once.
+                met = np.unique(np.searchsorted(asked, one[at[2]]) * len(ids) + np.searchsorted(ids, two[at[2]]))
                 found = []
-                for i in range(0, len(at[2]), PAIRS):
-                    own = at[2][i : i + PAIRS]
-                    q = np.searchsorted(asked, one[own])
-                    s = np.einsum("ij,ij->i", w[q], v[np.searchsorted(ids, two[own])])
+                for i in range(0, len(met), PAIRS):
+                    q, y = np.divmod(met[i : i + PAIRS], len(ids))
+                    s = np.einsum("ij,ij->i", w[q], v[y])
                     ok = s > low[q]
-                    found.append((one[own][ok], two[own][ok], s[ok]))
+                    found.append((asked[q[ok]], ids[y[ok]], s[ok]))
                 q, y, s = (np.concatenate(x) for x in zip(*found, strict=True))
                 keep = best(q, y, s, width)
                 yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(y[keep]), pa.array(s[keep])], names=["q", "x", "s"])
@@ -256,8 +257,11 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, se
             at = best(q, x, s, width)
             o = q[at]
             first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-            rank = np.arange(len(o)) - np.repeat(first, np.diff(np.append(first, len(o))))
-            yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(x[at]), pa.array(s[at]), pa.array(done[at], pa.bool_()), pa.array(rank.astype(np.int32))], schema=BEAM)
+            counts = np.diff(np.append(first, len(o)))
+            rank = np.arange(len(o)) - np.repeat(first, counts)
+            least = np.repeat(np.where(counts >= width, s[at][first + counts - 1], -np.inf), counts)
+            columns = [pa.array(o), pa.array(x[at]), pa.array(s[at]), pa.array(done[at], pa.bool_()), pa.array(rank.astype(np.int32)), pa.array(least)]
+            yield pa.RecordBatch.from_arrays(columns, schema=BEAM)
 
     shards = max(1, -(-nodes.count() // SHARD))
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
@@ -265,25 +269,24 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, se
     none = F.lit(0.0).alias("least")
     held = nodes.select(of("id"), F.lit(0).alias("what"), F.col("id").alias("one"), F.lit(0).cast("long").alias("two"), "vec", none)
     asked = cut(starts.join(nodes.select("id", "vec", "norm2"), starts["q"] == F.col("id")).select("q", "vec", "norm2"))
-    beam = asked.select("q", F.col("q").alias("x"), F.col("norm2").alias("s"), F.lit(False).alias("done"), F.lit(0).alias("rank"))
+    beam = asked.select("q", F.col("q").alias("x"), F.col("norm2").alias("s"), F.lit(False).alias("done"), F.lit(0).alias("rank"), F.lit(float("-inf")).alias("least"))
     tops = [r["id"] for r in nodes.orderBy(F.desc("norm2"), "id").select("id").limit(settings.entries).collect()]
     for hop in range(settings.hops):
-        reach = min(settings.beam, settings.first << hop)
+        reach = min(settings.beam, settings.first << 2 * hop)
         open_ = beam.where((~F.col("done")) & (F.col("rank") < reach))
         if reach == settings.beam and open_.isEmpty():
             break
-        pairs = open_.join(graph, open_["x"] == graph["u"]).select("q", graph["x"].alias("y"))
+        pairs = open_.join(graph, open_["x"] == graph["u"]).select("q", graph["x"].alias("y"), "least")
         if hop == 0 and tops:
-            pairs = pairs.unionByName(starts.select("q", F.explode(F.array(*(F.lit(i).cast("long") for i in tops))).alias("y")).where("y <> q"))
-        pairs = cut(pairs.distinct())
-        floor = beam.groupBy("q").agg(F.when(F.count("*") >= width, F.min("s")).otherwise(F.lit(float("-inf"))).alias("least"))
-        touched = pairs.select(of("y"), "q").distinct().join(asked, "q").join(floor, "q")
+            pairs = pairs.unionByName(starts.select("q", F.explode(F.array(*(F.lit(i).cast("long") for i in tops))).alias("y"), F.lit(float("-inf")).alias("least")).where("y <> q"))
+        pairs = cut(pairs)
+        touched = pairs.select(of("y"), "q", "least").distinct().join(asked, "q")
         rows = held.unionByName(touched.select("shard", F.lit(1).alias("what"), F.col("q").alias("one"), F.lit(0).cast("long").alias("two"), "vec", "least"))
         rows = rows.unionByName(pairs.select(of("y"), F.lit(2).alias("what"), F.col("q").alias("one"), F.col("y").alias("two"), blank, none))
         new = bounded(rows).repartition("shard").sortWithinPartitions("shard", "what").mapInArrow(scored, "q long, x long, s double")
         old = beam.select("q", "x", "s", (F.col("done") | (F.col("rank") < reach)).alias("done"))
         new = new.select("q", "x", "s", F.lit(False).alias("done"))
-        beam = cut(old.unionByName(new).repartition("q").sortWithinPartitions("q").mapInArrow(merged, "q long, x long, s double, done boolean, rank int"))
+        beam = cut(old.unionByName(new).repartition("q").sortWithinPartitions("q").mapInArrow(merged, "q long, x long, s double, done boolean, rank int, least double"))
     return beam.select("q", "x", "s")
 
 
