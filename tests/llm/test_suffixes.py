@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from textloom.llm import suffixes
 from textloom.llm.anchors import anchors, sliding_min
 from textloom.llm.suffixes import Trie, deep_shallow, remove_repeats
 
@@ -51,6 +52,28 @@ def test_equals_brute_force(spark, window, gram, crowd):
     assert any(x[2] for x in got) and any(0 < x[2] < x[1] for x in got)
 
 
+def test_crowd_in_parts(spark):
+    """One anchor's occurrences in small Arrow batches: the last part, below the crowd, holds the copy of a row in the first."""
+    window, gram, crowd = 60, 40, 4
+    r = random.Random(5)
+    side = lambda: bytes(r.choice(b"abcdefgh") for _ in range(window - gram))
+    contexts = [(side(), side()) for _ in range(6)]
+    rows = [(7, t, 100, 20, 0, 0, *contexts[t % 6]) for t in range(7)]
+    hoods = spark.createDataFrame(rows, suffixes.HOODS).coalesce(1)
+    found = set()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffixes, "bounded", lambda df: df)  # keeps the batches small
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        try:
+            while not hoods.isEmpty():
+                got = suffixes.matched(hoods, window, gram, crowd).collect()
+                found |= {x.t for x in got if x.lo is not None}
+                hoods = spark.createDataFrame([tuple(x)[2:] for x in got if x.lo is None], suffixes.HOODS)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {0, 6}
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -302,11 +302,13 @@ def matched(hoods: DataFrame, window: int, gram: int, crowd: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []
-        size = 0
+        size, going_on = 0, np.zeros(0, np.int64)
         for tab in pieces(batches, crowd):
             key = tab.column(0).to_numpy()
             counts = np.unique(key, return_counts=True)
-            hot = counts[0][counts[1] > crowd]
+            # A run that comes in parts is hot as a whole: its last part may be small.
+            hot = np.union1d(counts[0][counts[1] > crowd], going_on)
+            going_on = hot[hot == key[-1]]
             if len(hot):
                 over = tab.filter(pa.array(np.isin(key, hot)))
                 yield from split(over)
