@@ -224,3 +224,21 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("alerts").collect()), key=repr) == want
+
+
+def test_greedy_rows_keep_long_sentences(spark, tmp_path):
+    from textloom.plans import queries
+
+    text = " ".join(["the cat sat"] * 20) + "."
+    docs = spark.createDataFrame([(i, f"the cat sat. {text}", "en", "src3") for i in range(25)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.greedy_rows(spark, str(tmp_path)).collect()
+    assert sorted(len(r.gold) for r in got) == [2] * 5 + [59] * 5  # "sat." is no alphabetic word
+    assert queries.QUERIES["exact_accuracy_greedy"](spark, str(tmp_path)).first().n == 10
+
+
+def test_boundaries_of_a_long_sentence(spark):
+    long = ["ab"] * 20_000
+    df = spark.createDataFrame([(long, [*long[:-1], "a", "b"])], "gold array<string>, pred array<string>")
+    r = evaluation.boundary_scores(df).first()
+    assert r.recall == 1.0 and r.precision == pytest.approx(19_999 / 20_000)

@@ -186,10 +186,12 @@ def adapted(df: DataFrame, model: WordModel, column: str = "token") -> DataFrame
 
 def greedy_strings(df: DataFrame, vocab: dict | frozenset, column: str = "token", longest: int | None = None) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(frozenset(vocab))
+    # No word is longer than the vocabulary's longest, so long strings cost no more a position than short ones.
+    most = min(longest or math.inf, max(map(len, vocab), default=1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({column: pdf[column], "words": [greedy(t, held.value, longest) for t in pdf[column]]})
+            yield pd.DataFrame({column: pdf[column], "words": [greedy(t, held.value, most) for t in pdf[column]]})
 
     return df.select(column).where(F.col(column).isNotNull()).distinct().mapInPandas(run, f"`{column}` string, words array<string>")
 

@@ -616,7 +616,7 @@ def greedy_rows(spark: SparkSession, d: str, lang: str = "en", longest: int | No
     """Held-out sentences of alphabetic words, joined and cut again greedily: (doc_id, sent_id, gold, pred)."""
     parts = corpus.split_documents(docs(spark, d).where(F.col("lang") == lang))
     v = decoding.collected(counts.unigrams(counts.word_arrays(corpus.tokenised(parts.where("is_train")))), "w")
-    gold = counts.word_arrays(corpus.tokenised(parts.where("not is_train"))).where(F.size("words") <= 40).select("doc_id", "sent_id", F.col("words").alias("gold"))
+    gold = counts.word_arrays(corpus.tokenised(parts.where("not is_train"))).select("doc_id", "sent_id", F.col("words").alias("gold"))
     gold = gold.withColumn("token", F.array_join("gold", ""))
     if limit:
         gold = gold.orderBy("doc_id", "sent_id").limit(limit)
