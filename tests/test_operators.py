@@ -242,3 +242,12 @@ def test_boundaries_of_a_long_sentence(spark):
     df = spark.createDataFrame([(long, [*long[:-1], "a", "b"])], "gold array<string>, pred array<string>")
     r = evaluation.boundary_scores(df).first()
     assert r.recall == 1.0 and r.precision == pytest.approx(19_999 / 20_000)
+
+
+def test_sentences_of_any_length_are_tagged(spark, tmp_path):
+    from textloom.plans import queries
+
+    texts = [" ".join(["the cat sat"] * n) + "." for n in (1, 7, 8, 400)]
+    spark.createDataFrame([(i, t, "en", "src3") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["viterbi_tag_sentences"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: len(r.tags.split()) for r in got} == {0: 3, 1: 21, 2: 24, 3: 1200}

@@ -203,14 +203,17 @@ def tag_sentences(df: DataFrame, model: TagModel, keys: tuple[str, ...] = ("doc_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory: dict[tuple, tuple] = {}
+        size = 0
         for pdf in batches:
-            if len(memory) > 100_000:
-                memory.clear()
             rows = []
             for tokens in pdf["tokens"]:
                 key = tuple(t.lower().strip(",.?!;:'\"") for t in tokens)
                 if key not in memory:
+                    if size > 1_000_000:  # tokens, as sentences have any length
+                        memory.clear()
+                        size = 0
                     memory[key] = viterbi(list(key), held.value)
+                    size += len(key)
                 rows.append(memory[key])
             yield pdf.assign(tags=[t for t, _ in rows], score=[s for _, s in rows])
 

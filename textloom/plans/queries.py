@@ -331,8 +331,7 @@ def mft_predictions(spark, d):
 @query
 def viterbi_tag_sentences(spark, d):
     model = decoding.tag_model(*tag_tables(spark, d))
-    short = tok(spark, d).where(F.size("tokens") <= grammar.LONGEST)
-    got = decoding.tag_sentences(short, model)
+    got = decoding.tag_sentences(tok(spark, d), model)
     return got.select("doc_id", "sent_id", F.array_join("tags", " ").alias("tags"), F.round("score", 6).alias("score"))
 
 
