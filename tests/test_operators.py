@@ -251,3 +251,27 @@ def test_sentences_of_any_length_are_tagged(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "src3") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.QUERIES["viterbi_tag_sentences"](spark, str(tmp_path)).collect()
     assert {r.doc_id: len(r.tags.split()) for r in got} == {0: 3, 1: 21, 2: 24, 3: 1200}
+
+
+@pytest.fixture(scope="module")
+def typed(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("typed"))
+    texts = ["the cat sat on the mat. a dog chased the cat." * (1 + i % 2) for i in range(10)]
+    spark.createDataFrame([(i, t, "en", "src3") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def test_alerts_are_those_of_the_live_pipeline(spark, typed):
+    from textloom.plans import queries
+
+    merges = simulate.inject_merges(queries.flat(spark, typed)).where("is_merge").count()
+    got = queries.QUERIES["alerts_per_sentence"](spark, typed).collect()
+    assert merges and sum(r.n_merge for r in got) == merges  # all words are known, so each merge is found, and nothing else is cut
+
+
+def test_agreement_covers_all_sentences(spark, typed):
+    from textloom.plans import queries
+
+    m = queries.QUERIES["agreement_matrix"](spark, typed).first()
+    # "mat." is corrected to "cat" and loses its full stop, so each of the ten documents is one sentence.
+    assert sum(m) == 10 and m.alert_grammatical + m.alert_not_grammatical > 0

@@ -494,15 +494,19 @@ def live_fold_alerts(spark, d):
     return live.fold_alerts(live_outputs(spark, d), _context_model(spark, d))
 
 
+def corrected_words(out: DataFrame, folded: DataFrame) -> DataFrame:
+    """(doc_id, out_idx, word): output words after the fold's corrections."""
+    idx = (F.row_number().over(Window.partitionBy("doc_id").orderBy("token_idx", "i")) - 1).cast("long")
+    flat_words = out.select("doc_id", "token_idx", F.posexplode("words").alias("i", "w")).select("doc_id", idx.alias("out_idx"), "w")
+    last = folded.where("alert_type = 'GRAMMAR'").groupBy("doc_id", "out_idx").agg(F.max_by("replacement", "input_idx").alias("fix"))
+    return flat_words.join(last, ["doc_id", "out_idx"], "left").select("doc_id", "out_idx", F.coalesce("fix", "w").alias("word"))
+
+
 @query
 def live_corrected_text(spark, d):
     """Output words of each document after the fold's corrections."""
     out = live_outputs(spark, d)
-    idx = (F.row_number().over(Window.partitionBy("doc_id").orderBy("token_idx", "i")) - 1).cast("long")
-    flat_words = out.select("doc_id", "token_idx", F.posexplode("words").alias("i", "w")).select("doc_id", idx.alias("out_idx"), "w")
-    fixes = live.fold_alerts(out, _context_model(spark, d)).where("alert_type = 'GRAMMAR'")
-    last = fixes.groupBy("doc_id", "out_idx").agg(F.max_by("replacement", "input_idx").alias("fix"))
-    done = flat_words.join(last, ["doc_id", "out_idx"], "left").select("doc_id", F.struct("out_idx", F.coalesce("fix", "w").alias("w")).alias("x"))
+    done = corrected_words(out, live.fold_alerts(out, _context_model(spark, d))).select("doc_id", F.struct("out_idx", F.col("word").alias("w")).alias("x"))
     return done.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]), " ").alias("text"))
 
 
@@ -555,24 +559,30 @@ def sentence_verdict_full(spark, d):
     return _display(verdict.evaluate(*ngram_scores(spark, d), parses(spark, d)))
 
 
-def merge_alerts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Sentence spans in output words of English documents, and alerts where a merge was typed."""
-    idx = (F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id", "pos")) - 1).cast("long")
-    w = flat(spark, d).select("doc_id", idx.alias("out_idx"), F.col("token").alias("word"))
-    spans = verdict.output_sentences(w)
-    hit = (F.pmod(F.col("doc_id") * 31 + F.col("out_idx") * 17, F.lit(29)) == 0) & F.col("word").rlike(r"^\p{L}+$")
-    kinds = F.when(F.col("out_idx") % 3 == 0, "SEGMENT").when(F.col("out_idx") % 3 == 1, "SPELL").otherwise("GRAMMAR")
-    return spans, w.where(hit).select("doc_id", "out_idx", kinds.alias("alert_type"))
+def live_alerts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Final words (doc_id, out_idx, word) and alerts (doc_id, out_idx, alert_type) of the live pipeline over all English
+    documents typed with merges, through models of the training documents."""
+    v = counts.unigrams(train_words(spark, d))
+    out = live.stateless(simulate.inject_merges(flat(spark, d)), _word_model(spark, d), v, v)
+    folded = live.fold_alerts(out, _context_model(spark, d))
+    # An anomaly is a grammar alert too: the reference has one type for both.
+    kinds = folded.select("doc_id", "out_idx", F.lit("GRAMMAR").alias("alert_type"))
+    return corrected_words(out, folded), live.stateless_alerts(out).select("doc_id", "out_idx", "alert_type").unionByName(kinds)
 
 
 @query
 def alerts_per_sentence(spark, d):
-    return verdict.alerts_per_sentence(*merge_alerts(spark, d))
+    w, alerts = live_alerts(spark, d)
+    return verdict.alerts_per_sentence(verdict.output_sentences(w), alerts)
 
 
 def alerted_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    a = verdict.alerts_per_sentence(*merge_alerts(spark, d))
-    v = verdict.evaluate(*ngram_scores(spark, d)).select("doc_id", "sent_id", "verdict")
+    """Verdicts on the sentences of the final words, with the alerts of the same sentences."""
+    w, alerts = live_alerts(spark, d)
+    a = verdict.alerts_per_sentence(verdict.output_sentences(w), alerts)
+    rows = verdict.numbered(w).groupBy("doc_id", "sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("out_idx", "word"))), lambda x: x["word"]).alias("tokens"))
+    low, train = language_model.lowered(rows), tok(spark, d)
+    v = verdict.evaluate(*(language_model.score(language_model.train(train, n), low) for n in (2, 3))).select("doc_id", "sent_id", "verdict")
     return v.join(a, ["doc_id", "sent_id"]).withColumn("alerted", F.col("n_merge") + F.col("n_spelling") > 0)
 
 
