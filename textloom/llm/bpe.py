@@ -14,16 +14,20 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_array, bounded, each_batch, raw_text, spread, table
+from .common import binary_array, bounded, each_batch, raw_text, spread, table, tidy
 
-#: Fragments whose ids a worker remembers; the memory is started afresh when it is full.
-REMEMBER = 400_000
+#: Bytes of fragments and ids that a worker remembers; the memory is started afresh when it is full.
+REMEMBER = 24 << 20
+#: Bytes of text that are encoded together, and fragments that the library gets at once.
+PART_BYTES, PART = 2 << 20, 4000
 
 
 def default_tokenizer() -> str:
@@ -89,7 +93,11 @@ class Codec:
         self.token_len = np.array([len(t) for t in tokens], np.int64)
         self.token_at = np.cumsum(self.token_len) - self.token_len
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.known: dict[bytes, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Fragments in one Arrow array, their ids in another: a few bytes a fragment, where objects would take hundreds."""
+        self.known, self.known_ids, self.known_len = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def fragments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the fragments (n + 1), and how many fragments precede each text."""
@@ -100,28 +108,37 @@ class Codec:
         bounds = np.flatnonzero(at)
         return bounds, np.searchsorted(bounds, offsets)
 
-    def encode_fragments(self, pieces: list[bytes]) -> list[list[int]]:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                known[p] = e.ids
-        return [known[p] for p in pieces]
+    def encode_new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these fragments by the library, one after the other, and how many each has."""
+        flat, sizes = [], []
+        for i in range(0, len(pieces), PART):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + PART].cast(pa.string()).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1].sum())))
+        return np.concatenate([self.known_ids, *flat]), np.concatenate([self.known_len, *sizes])
+
+    def encode_fragments(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all remembered fragments, where those of each given (distinct) fragment start, and how many it has."""
+        if self.known.nbytes + self.known_ids.nbytes + self.known_len.nbytes > REMEMBER:
+            self.forget()
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(at.is_null())
+        at = at.to_numpy(zero_copy_only=False).astype(float)
+        at[np.isnan(at)] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known_ids, self.known_len = self.encode_new(new)
+        self.known = pa.concat_arrays([self.known, new])
+        at = at.astype(np.int64)
+        return self.known_ids, (np.cumsum(self.known_len) - self.known_len)[at], self.known_len[at]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and their offsets."""
         bounds, before = self.fragments(data, offsets)
         coded = binary_array(data, bounds).dictionary_encode()
-        ids = self.encode_fragments(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.int32, int(lengths.sum()))
+        flat, starts, lengths = self.encode_fragments(coded.dictionary)
         codes = coded.indices.to_numpy()
         per = lengths[codes]
         total = np.concatenate([[0], np.cumsum(per)])
-        return flat[spread((np.cumsum(lengths) - lengths)[codes], per)], total[before]
+        return flat[spread(starts[codes], per)], total[before]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of these ids; bytes that are no UTF-8 become the replacement character."""
@@ -138,10 +155,12 @@ def encode_decode(df: DataFrame, text: str = "text", key: str = "doc_id", tokeni
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
-        for b in each_batch(batches):
+        for b in each_batch(batches, PART_BYTES):
             ids, offsets = codec.encode(*raw_text(b.column(1)))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(codec.decode(ids, offsets), pa.string())], schema=schema)
+            del ids, offsets, lists
+            tidy()
 
     return (
         bounded(df)

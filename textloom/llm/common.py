@@ -6,7 +6,10 @@ costs one large batch and not a large batch of long documents.
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: The white space that the contracts name, `[\x20\x09-\x0D]`; bytes.split() splits at the same six.
 SPACE = " \t\n\x0b\x0c\r"
+LIBC = ctypes.CDLL(None)
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -35,12 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a fresh temporary one where the session has none (tests)."""
+    """The folder of spark.checkpoint.dir; where the session has none, a temporary one that goes with the process, if one
+    machine runs all (tests), and else an error: executors wouldn't share such a folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="textloom-"))
+    if not where and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not where:
+        where = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -55,6 +65,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of scratch()."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def crc_of_id(col: str = "doc_id") -> Column:
     """crc32 of the id written as decimal text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
@@ -76,6 +92,13 @@ def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def tidy() -> None:
+    """Give memory that is free again back to the system; allocators would keep it for each worker."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(LIBC, "malloc_trim", None):
+        trim(0)
+
+
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary array over these bytes without copying them; offsets have one more entry than rows."""
     return pa.BinaryArray.from_buffers(
