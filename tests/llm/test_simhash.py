@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from textloom.llm.graph import components
-from textloom.llm.simhash import fingerprints, link_cell, links, near_duplicates
+from textloom.llm.simhash import fingerprints, link_cell, links, manhattan, near_duplicates, segment_counts
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -81,6 +81,30 @@ def test_links_of_dense_and_random_fingerprints(spark, most):
     assert got == want
 
 
+def test_manhattan():
+    r = random.Random(1)
+    v = np.array([r.getrandbits(64) for _ in range(400)] + [0, 2**64 - 1], np.uint64)
+    v = np.concatenate([v, v ^ np.uint64(0x8000000000000101)])
+    counts = [[(int(x) >> i & 3).bit_count() for i in range(0, 64, 2)] for x in v]
+    packed = segment_counts(v)
+    for i in range(0, len(v), 37):
+        want = [sum(abs(a - b) for a, b in zip(c, counts[i])) for c in counts]
+        assert manhattan(packed, packed[i]).tolist() == want
+        assert all(w <= (int(x) ^ int(v[i])).bit_count() for w, x in zip(want, v))
+
+
+def test_crowded_on_every_grid(spark):
+    """Many neighbours of one point crowd the cells of both grids of counts; the cells of exact bits hold them."""
+    r = random.Random(2)
+    center = r.getrandbits(64)
+    values = sorted({center ^ (1 << i) ^ (1 << j) ^ (1 << k) for i in range(0, 60, 5) for j in range(0, 64, 3) for k in range(0, 64, 5)} | {r.getrandbits(64) for _ in range(200)})
+    df = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in values], "f long")
+    want = groups([], values)
+    near = [v for v in values if (v ^ center).bit_count() <= 3]
+    got = groups([(x.node % 2**64, x.root % 2**64) for x in components(links(df, most=40)).collect()], values)
+    assert len({got[v] for v in near}) == 1 and all(got[v] == want[v] for v in values if v not in set(near))
+
+
 def test_link_cell_is_a_forest():
     x = np.unique(np.array([5 ^ (1 << i) ^ (1 << j) for i in range(40) for j in range(40)], np.uint64))
     assert len(link_cell(x, 3)) == len(x) - 1

@@ -2,17 +2,20 @@
 
 A fingerprint is embedded as the bit counts of its 2-bit segments. The Manhattan distance of two embeddings never
 exceeds the Hamming distance of the fingerprints, so links (at most `radius` differing bits) lie within that
-Manhattan distance. The segments form BLOCKS blocks; of these at least BLOCKS - radius agree in all counts, so every
-link shares a grid cell of some BLOCKS - radius blocks. Within a cell, rows are sorted by their total count and only
-those within `radius` of each other are compared, exactly. A cell gives each fingerprint at most one link, to the
-smallest one it reaches there: the components are the same as with all pairs.
+Manhattan distance: the join is a range join in the space of counts. Its grid has BLOCKS axes, blocks of segments;
+points within the radius differ on at most `radius` axes, so they meet in the cell of the others. Within a cell, rows
+are sorted by their total count; of those within `radius` of each other in it, the pairs within the Manhattan
+distance are verified exactly. A cell gives each fingerprint at most one link, to the smallest one it reaches there:
+the components are the same as with all pairs.
 
-A cell with more than CELL fingerprints isn't linked whole: its members are dealt once more by blocks of exact bits
-(FINE of them), where a cell can't hold many.
+The members of a cell with more than CELL fingerprints are dealt once more over a finer grid of counts (FINE axes).
+Where that is crowded too, as only many unlike neighbours of one point can make it, cells are of exact bits: EXACT
+axes of four bits, whose cells hold 4,096 fingerprints at most, as all but 12 bits are given.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0 and links like any other; fewer words
-than a shingle make one shingle of all; equal texts share fingerprint and component; rows of one doc_id are kept;
-other columns are not read. A null doc_id gets a null component unless the component holds another document.
+than a shingle make one shingle of all; texts of any length are taken whole; equal texts share fingerprint and
+component; rows of one doc_id are kept; an empty table gives an empty one; other columns are not read unless named in
+`keep`. A null doc_id gets a null component unless the component holds another document.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from xxhash import xxh64_intdigest
 from .common import bounded, cut, each_batch, raw_text, table
 from .graph import components
 
-BLOCKS, FINE, CELL = 6, 8, 4096
+BLOCKS, FINE, EXACT, CELL = 6, 9, 16, 4096
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -80,6 +83,18 @@ def segment_counts(x: np.ndarray) -> np.ndarray:
     return (x & ones) + (x >> np.uint64(1) & ones)
 
 
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of two embeddings (or of many from one), as segment_counts packs them."""
+    low = np.uint64(0x3333333333333333)
+    four = np.uint64(0x4444444444444444)
+    out = np.zeros(np.broadcast(a, b).shape, np.int64)
+    for shift in (np.uint64(0), np.uint64(2)):  # every second segment, so that each difference has four bits
+        d = ((a >> shift & low) | four) - (b >> shift & low)  # 4 + a - b in 2 ... 6
+        # |a - b|: of 2 and 6 the second bit is set and the last is not, of 3 and 5 the last one is.
+        out += 2 * np.bitwise_count(d & np.uint64(0x2222222222222222) & ~(d << np.uint64(1))) + np.bitwise_count(d & np.uint64(0x1111111111111111))
+    return out
+
+
 def _cells(values: np.ndarray, blocks: int, radius: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
     """Cell and index of every row of `values`: one cell for each choice of blocks - radius blocks, `unit` bits wide at least."""
     cut_at = [64 // unit * i // blocks * unit for i in range(blocks + 1)]
@@ -94,10 +109,14 @@ def _cells(values: np.ndarray, blocks: int, radius: int, unit: int) -> tuple[np.
 
 
 def link_cell(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of distinct unsigned fingerprints, each to the smallest one that it reaches in this cell."""
+    """Links of distinct unsigned fingerprints, each to the smallest one that it reaches in this cell.
+
+    Of those within reach by their total, the Manhattan distance leaves a few to verify.
+    """
     total = np.bitwise_count(values).astype(np.int64)
     order = np.argsort(total, kind="stable")
     values, total = values[order], total[order]
+    counts = segment_counts(values)
     low = np.searchsorted(total, total - radius, "left").tolist()
     high = np.searchsorted(total, total + radius, "right").tolist()
     open_ = np.ones(len(values), bool)
@@ -113,6 +132,7 @@ def link_cell(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             a, b = low[k], high[k]
             free = np.flatnonzero(open_[a:b]) + a
             if len(free):
+                free = free[manhattan(counts[free], counts[k]) <= radius]
                 hit = free[np.bitwise_count(values[free] ^ values[k]) <= radius]
                 open_[hit] = False
                 members += hit.tolist()
@@ -184,21 +204,28 @@ def links(distinct: DataFrame, radius: int = 3, most: int = CELL) -> DataFrame:
     def dealt(df: DataFrame, blocks: int, counted: bool) -> DataFrame:
         return bounded(df).mapInArrow(grid(blocks, counted), "cell long, f long").repartition("cell").sortWithinPartitions("cell")
 
-    found = cut(dealt(distinct.select("f"), BLOCKS, True).mapInArrow(_linked(radius, most), "a long, b long, over boolean"))
-    crowded = found.where("over").select(F.col("a").alias("f")).distinct()
-    fine = dealt(crowded, FINE, False).mapInArrow(_linked(radius, None), "a long, b long, over boolean")
-    return found.where("not over").unionByName(fine).select("a", "b").distinct()
+    out, left = None, distinct.select("f")
+    for blocks, counted, bound in ((BLOCKS, True, most), (FINE, True, most), (EXACT, False, None)):
+        found = dealt(left, blocks, counted).mapInArrow(_linked(radius, bound), "a long, b long, over boolean")
+        found = cut(found) if bound else found
+        own = found.where("not over").select("a", "b")
+        out = own if out is None else out.unionByName(own)
+        left = found.where("over").select(F.col("a").alias("f")).distinct()
+        if not bound or left.isEmpty():
+            return out.distinct()
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, radius: int = 3, most: int = CELL) -> DataFrame:
-    """(key, f, component_id) of every row: its fingerprint as a signed long, and the smallest key its fingerprint reaches."""
-    schema = pa.schema([("k", pa.int64()), ("f", pa.int64())])
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, radius: int = 3, most: int = CELL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(kept columns, key, f, component_id) of every row: its fingerprint as a signed long, and the smallest key its fingerprint reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_batch(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1), words).view(np.int64))], schema=schema)
+            f = fingerprints(b.column(b.num_columns - 1), words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f)], names=[*b.schema.names[:-1], "f"])
 
-    rows = cut(bounded(df).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, "k long, f long"))
+    kept = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]
+    src = bounded(df).select(*kept, F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    rows = cut(src.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in src.dtypes[:-1]) + ", f long"))
     # One row a fingerprint: copies are summed within each task first, and never meet each other.
     classes = cut(rows.groupBy("f").agg(F.min("k").alias("least")))
     roots = components(links(classes, radius, most))
@@ -206,7 +233,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = joined.drop("least").join(of_root, "root").select(F.col("f").alias("g"), "component_id")
     of_class = classes.join(linked, classes["f"] == linked["g"], "left").select("f", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of_class, "f").select(F.col("k").alias(key), "f", "component_id")
+    return rows.join(of_class, "f").select(*(F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)), F.col("k").alias(key), "f", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
