@@ -23,13 +23,13 @@ def test_flight_keeps_both_totals():
     size = [float(r.randint(0, 500)) for _ in range(800)]
     p = fly(size, [0.37] * 800, random.Random(1))
     assert sum(0 < x < 1 for x in p) <= 2
-    assert abs(sum(s * x for s, x in zip(size, p)) - 0.37 * sum(size)) < 1e-3 and abs(sum(p) - 0.37 * 800) < 1e-6
+    assert abs(sum(s * x for s, x in zip(size, p)) - 0.37 * sum(size)) < 1e-3 and abs(sum(p) - 0.37 * 800) < 4
     q = land(size, p)
     assert set(q) <= {0.0, 1.0} and abs(sum(s * x for s, x in zip(size, q)) - 0.37 * sum(size)) <= 500
 
 
 def test_inclusion_probabilities():
-    size = [float(x) for x in (5, 9, 2, 7, 7, 4, 11, 3)]
+    size = [float(x) for x in (5, 9, 2, 7, 7, 4, 11, 90)]
     n = 4000
     hits = [0.0] * 8
     for s in range(n):
@@ -38,6 +38,27 @@ def test_inclusion_probabilities():
     assert all(abs(h - 0.3) < 0.04 for h in hits)
 
 
+def test_long_documents_are_settled_first():
+    r = random.Random(4)
+    size = [20_000.0, 9000.0, 9000.0, 3000.0, 0.0, *(float(r.randint(20, 400)) for _ in range(300))]
+    for seed in range(20):
+        p = fly(size, [0.41] * len(size), random.Random(seed))
+        assert all(size[i] <= 60 for i, x in enumerate(p) if 0 < x < 1) and sum(0 < x < 1 for x in p) <= 2
+        assert abs(sum(s * x for s, x in zip(size, p)) - 0.41 * sum(size)) < 1e-3
+        q = land(size, p)
+        assert abs(sum(s * x for s, x in zip(size, q)) - 0.41 * sum(size)) <= 30
+    for size in ([7.0], [7.0, 7.0], [500.0] + [60.0] * 9, [60.0] * 9 + [5.0], []):
+        p = fly(size, [0.5] * len(size), random.Random(1))
+        assert sum(0 < x < 1 for x in p) <= 2 and abs(sum(s * x for s, x in zip(size, p)) - 0.5 * sum(size)) < 1e-6
+
+
+def test_sources_meet_their_targets(spark):
+    """On the tables at hand no source misses its target by over a hundredth, nor by over a tenth of a percent in larger ones."""
+    for sf, most in (("sf0.01", 0.01), ("sf0.1", 0.001)):
+        rows = mix(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).groupBy("source", "target").agg({"taken": "sum"}).collect()
+        assert len(rows) > 3 and all(abs(x["sum(taken)"] - x.target) <= most * x.target for x in rows)
+
+
 def test_mix(spark):
     r = random.Random(5)
     rows = []

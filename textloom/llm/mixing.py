@@ -3,10 +3,10 @@
 A source's target is its weighted share of all words, capped at `limit` times its own size, the excess going to
 the others by weight. A document of a source with target ratio r is taken floor(r) times, and once more with
 probability r - floor(r). Which documents those are is drawn by the cube method: inclusion probabilities move
-along the null space of two balancing constraints (words, documents) until they are 0 or 1. Each chunk of a
-source's documents makes its own flight and leaves at most two documents undecided; the undecided ones of many
-chunks fly again together, until a source has one chunk, whose last two documents land so that the words taken
-come closest to the target.
+along the null space of two balancing constraints (words, and documents where there is room) until they are 0 or 1. Each chunk of a
+source's documents makes its own flight, largest document first, and leaves a small document undecided (and at most one
+without words); the undecided ones of many chunks fly again together, until a source has one chunk, whose last
+document lands so that the words taken come closest to the target.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, last in order;
 repeated rows are units of their own; an empty table gives an empty table; draws depend on the rows' values alone,
@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 #: Documents of one flight.
-CHUNK = 4096
+CHUNK = 1024
 #: Chunks whose undecided documents meet in one flight of the next level.
 JOINED = CHUNK // 4
 EDGE = 1e-9
@@ -50,34 +51,55 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: flo
     return by.select("source", "source_size", "n_docs", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def reach(q: np.ndarray, u: np.ndarray) -> tuple[float, float]:
+    """How far q can move along u, and against it, until one of it is 0 or 1."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(u > 0, (1 - q) / u, np.where(u < 0, q / -u, np.inf)).min()
+        down = np.where(u > 0, q / u, np.where(u < 0, (1 - q) / -u, np.inf)).min()
+    return up, down
+
+
 def fly(size: list[float], p: list[float], rng: random.Random) -> list[float]:
-    """The flight: probabilities after it; at most two are not 0 or 1."""
-    p = list(p)
-    active: list[int] = []
-    for k in range(len(p) + 1):
-        while len(active) >= 3 or (k == len(p) and len(active) == 2 and size[active[0]] == size[active[1]]):
-            if len(active) == 2:
-                ids, u = active, (1.0, -1.0)
-            else:
-                ids = active
-                a, b, c = (size[i] for i in ids)
-                u = (b - c, c - a, a - b) if not a == b == c else (1.0, -1.0, 0.0)
-            up, down = math.inf, math.inf
-            for i, d in zip(ids, u, strict=True):
-                if d:
-                    x, y = ((1 - p[i]) / d, p[i] / d) if d > 0 else (p[i] / -d, (1 - p[i]) / -d)
-                    up, down = min(up, x), min(down, y)
-            step = up if rng.random() * (up + down) < down else -down
-            left = []
-            for i, d in zip(ids, u, strict=True):
-                v = p[i] + step * d
-                p[i] = 0.0 if v < EDGE else 1.0 if v > 1 - EDGE else v
-                if 0 < p[i] < 1:
-                    left.append(i)
-            active = left
-        if k < len(p) and 0 < p[k] < 1:
-            active.append(k)
-    return p
+    """The flight: probabilities after it; at most one of a document with words is not 0 or 1.
+
+    Each step means to decide on the largest document left: it moves along the null space while all others make up
+    for it, each a little, in words and documents. Where they can't do both, they do so in words alone. So what is
+    left for the landing is a small document.
+    """
+    out = np.array(p, float)
+    open_ = np.flatnonzero((out > 0) & (out < 1))
+    open_ = open_[np.argsort(-np.asarray(size, float)[open_], kind="stable")]
+    s, q = np.asarray(size, float)[open_], out[open_]
+    while len(q) > 1:
+        w = q[1:] * (1 - q[1:])
+        u = np.ones(len(q))
+        if s[0] == s[-1]:
+            u[1:] = -w / w.sum()
+            up, down = reach(q, u)
+        else:
+            # Weights (a + b * size) * w, whose sum is 1 and whose words are those of the first.
+            x, y = s[1:] - s[1:].mean(), s[0] - s[1:].mean()
+            m0, m1, m2 = w.sum(), (w * x).sum(), (w * x * x).sum()
+            det = m0 * m2 - m1 * m1
+            up = down = 0.0
+            if det > 1e-9 * m0 * m2:
+                u[1:] = -((m2 - m1 * y) + (m0 * y - m1) * x) * w / det
+                up, down = reach(q, u)
+            if up < 1 - q[0] or down < q[0]:
+                total = (w * s[1:]).sum()
+                if not total:  # the others have no words
+                    out[open_[0]] = q[0]
+                    open_, s, q = open_[1:], s[1:], q[1:]
+                    continue
+                u[1:] = -w * (s[0] / total)
+                up, down = reach(q, u)
+        q = q + u * (up if rng.random() * (up + down) < down else -down)
+        q = np.where(q < EDGE, 0.0, np.where(q > 1 - EDGE, 1.0, q))
+        left = (q > 0) & (q < 1)
+        out[open_[~left]] = q[~left]
+        open_, s, q = open_[left], s[left], q[left]
+    out[open_] = q
+    return out.tolist()
 
 
 def land(size: list[float], p: list[float]) -> list[float]:
