@@ -15,7 +15,7 @@ def brute(rows, least=40, documents=5):
     held = {}
     for d, t in rows:
         for x in (t or "").split("\n"):
-            if len(key(x)) >= least:
+            if len(key(x)) >= least and d is not None:
                 held.setdefault(key(x), set()).add(d)
     common = {k: max(v) for k, v in held.items() if len(v) >= documents}
     out = []
@@ -23,7 +23,7 @@ def brute(rows, least=40, documents=5):
         lines = (t or "").split("\n")
         kept = [x for x in lines if common.get(key(x), d) == d]
         out.append((d, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 60_000])
@@ -32,18 +32,20 @@ def test_perfect_hash(n):
     assert sorted(PerfectHash.build(keys).index(keys).tolist()) == list(range(len(keys)))
 
 
-@pytest.mark.parametrize("fits", [1 << 30, 0])
-def test_equals_brute_force(spark, fits):
+@pytest.mark.parametrize("fits,shard_keys,most", [(1 << 30, 50_000, 1 << 30), (1 << 30, 7, 1), (0, 50_000, 1 << 30), (0, 7, 1 << 30), (0, 7, 40)])
+def test_equals_brute_force(spark, fits, shard_keys, most):
     r = random.Random(8)
     pool = [f"Common line {i} " + "é" * r.randint(15, 40) + r.choice(["", " ", " x"]) for i in range(30)] + ["short"]
     rows = []
     for i in range(300):
         lines = [r.choice(["", "\t ", "  "]) + r.choice([str.upper, str, str.lower])(r.choice(pool)) + r.choice(["", "\r", " \x0b"]) for _ in range(r.randint(0, 5))]
         rows.append((i * 7 - 50, "\n".join([*lines, f"own line of document {i} " * 3, ""][r.randint(0, 1) :])))
-    rows += [(9999, None), (9998, ""), (9997, "\n\n"), rows[3], rows[3], (9996, (pool[0] + "\n") * 2000)]
+    rows += [(9999, None), (9998, ""), (9997, "\n\n"), rows[3], rows[3], (9996, (pool[0] + "\n") * 2000), (-1, pool[1]), (None, pool[1] + "\nx\n" + pool[2]), (None, pool[1] + "\nx\n" + pool[2]), (None, None), (None, "".join(pool))]
+    rows += [(20_000 + i, f"only the row without an id is last here, {'y' * 40}") for i in range(5)] + [(None, f"only the row without an id is last here, {'y' * 40}")]
+    rows += [(8000 + i, "a line of three documents and of three rows without an id") for i in range(3)] + [(None, "a line of three documents and of three rows without an id")] * 3
     df = spark.createDataFrame([(*x, "clash", 5) for x in rows], "doc_id long, text string, n_lines string, h int")
-    got = drop_common_lines(df, keep=("h",), fits=fits).collect()
-    assert sorted((x.doc_id, x.n_lines, x.n_dropped, hashlib.sha256(x.text.encode()).hexdigest()) for x in got) == brute(rows)
+    got = drop_common_lines(df, keep=("h",), fits=fits, shard_keys=shard_keys, most=most).collect()
+    assert sorted(((x.doc_id, x.n_lines, x.n_dropped, hashlib.sha256(x.text.encode()).hexdigest()) for x in got), key=repr) == brute(rows)
     assert sum(x.n_dropped for x in got) > 50 and {x.h for x in got} == {5}
     assert drop_common_lines(df.limit(0), fits=fits).count() == 0
 

@@ -5,11 +5,13 @@ minimal perfect hash over its keys, and arrays beside it: fingerprint, document
 key. Documents look their lines up in the arrays; no line is joined with a line.
 
 If all shards together fit `BROADCAST_BYTES` (measured, not guessed), every worker gets the arrays and documents
-are probed where they are read. Otherwise the documents' line hashes are dealt to the shards, hot shards being
-replicated over SALTS tasks, and the drop lists are joined back to the documents.
+are probed where they are read. Otherwise the documents' line hashes are dealt to the shards and stream past their
+arrays; a shard with more than PROBES of them is replicated over as many tasks as that takes. The drop lists are
+joined back to the documents. Both ways give the same.
 
 Defined results: a null or empty text is one empty line; rows of one doc_id count as one document; a key's lines
-stay in all rows of the largest doc_id that holds it; other columns are carried if named in `keep`.
+stay in all rows of the largest doc_id that holds it; a row without an id counts for no key and keeps no common line;
+texts of any length are taken whole; an empty table gives an empty table; other columns are carried if named in `keep`.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from .common import SPACE, bounded, cut, each_batch, raw_text, table
 
 BROADCAST_BYTES = 32 << 20
 SHARD_KEYS = 50_000
-SALTS = 16
+#: Line hashes that stream past one copy of a shard.
+PROBES = 2_000_000
 STRIP = SPACE.encode()
 
 
@@ -97,6 +100,8 @@ class PerfectHash:
         return out
 
 
+#: The arrays beside a perfect hash: fingerprint, document count (at most what fits) and last document.
+ARRAYS = (("f", np.int64), ("n", np.uint32), ("last", np.int64))
 INDEX = "shard int, n long, sizes binary, bits binary, prints binary, counts binary, lasts binary"
 
 
@@ -110,9 +115,9 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
         mph = PerfectHash.build(keys)
         at = mph.index(keys)
         arrays = []
-        for name in ("f", "n", "last"):
-            a = np.empty(len(keys), np.int64)
-            a[at] = own[name].to_numpy(np.int64)
+        for name, kind in ARRAYS:
+            a = np.empty(len(keys), kind)
+            a[at] = np.minimum(own[name].to_numpy(np.int64), np.iinfo(kind).max)
             arrays.append(a.tobytes())
         rows.append((int(pdf["shard"].iloc[0]), len(keys), mph.sizes.tobytes(), mph.bits.tobytes(), *arrays))
     return pd.DataFrame(rows, columns=["shard", "n", "sizes", "bits", "prints", "counts", "lasts"])
@@ -122,7 +127,7 @@ class Shard:
     """The arrays of one shard, and those of its colliding keys."""
 
     def __init__(self, layers: list[tuple[bytes, ...]]) -> None:
-        self.layers = [(PerfectHash(np.frombuffer(x[0], np.int64), np.frombuffer(x[1], np.uint8)), *(np.frombuffer(y, np.int64) for y in x[2:])) for x in layers]
+        self.layers = [(PerfectHash(np.frombuffer(x[0], np.int64), np.frombuffer(x[1], np.uint8)), *(np.frombuffer(y, kind) for y, (_, kind) in zip(x[2:], ARRAYS, strict=True))) for x in layers]
 
     def lookup(self, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document count (0: not a common line) and last document of each key."""
@@ -135,9 +140,11 @@ class Shard:
         return count, last
 
 
-def build_index(df: DataFrame, text: str = "text", key: str = "doc_id", least: int = 40, documents: int = 5) -> DataFrame:
-    """INDEX: one row a shard, over the keys of `least` code points or more in `documents` documents or more."""
+def build_index(df: DataFrame, text: str = "text", key: str = "doc_id", least: int = 40, documents: int = 5, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
+    """INDEX, one row a shard, over the keys of `least` code points or more in `documents` documents or more; the number
+    of shards, and of pairs (key, document) of all long lines."""
     schema = pa.schema([("h", pa.int64()), ("f", pa.int64()), ("k", pa.int64())])
+    seen = df.sparkSession.sparkContext.accumulator(0)  # only says how many tasks a shard gets; repeated tasks may add to it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_batch(batches):
@@ -150,15 +157,16 @@ def build_index(df: DataFrame, text: str = "text", key: str = "doc_id", least: i
                     out[0].append(h)
                     out[1].append(f)
                     out[2].append(k)
+            seen.add(len(out[0]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
 
     lines = bounded(df).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null").mapInArrow(run, "h long, f long, k long")
     # Pairs (key, document) are dealt by both, so a hot key is spread; its count is summed within each task before it is dealt by key.
     common = lines.dropDuplicates(["h", "f", "k"]).groupBy("h", "f").agg(F.count("*").alias("n"), F.max("k").alias("last")).where(F.col("n") >= documents)
     common = cut(common)
-    shards = max(1, -(-common.count() // SHARD_KEYS))
+    shards = max(1, -(-common.count() // shard_keys))
     common = common.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    return cut(common.groupBy("shard").applyInPandas(_pack, INDEX)).withColumn("shards", F.lit(shards))
+    return cut(common.groupBy("shard").applyInPandas(_pack, INDEX)), shards, seen.value
 
 
 def _lines(raw: bytes, least: int) -> tuple[list[bytes], list[int], list[tuple[int, int]]]:
@@ -168,32 +176,45 @@ def _lines(raw: bytes, least: int) -> tuple[list[bytes], list[int], list[tuple[i
     return lines, [i for i, _ in keys], [hashes(k) for _, k in keys]
 
 
-def _dropped(shards: dict[int, Shard], n: int, h: np.ndarray, f: np.ndarray, k: np.ndarray) -> np.ndarray:
+def _dropped(shards: dict[int, Shard], n: int, h: np.ndarray, f: np.ndarray, k: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """Which lines go, from their hashes and their document's id; none: that there is no id."""
     out = np.zeros(len(h), bool)
     which = h % n
     for s in np.unique(which).tolist():
         if s in shards:
             own = np.flatnonzero(which == s)
-            count, last = shards[s].lookup(h[own], f[own])
-            out[own] = (count > 0) & (last != k[own])
+            out[own] = _gone(shards[s], h[own], f[own], k[own], none[own])
     return out
 
 
-def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: int = 40, documents: int = 5, keep: tuple[str, ...] = (), fits: int = BROADCAST_BYTES) -> DataFrame:
+def _gone(shard: Shard, h: np.ndarray, f: np.ndarray, k: np.ndarray, none: np.ndarray) -> np.ndarray:
+    count, last = shard.lookup(h, f)
+    return (count > 0) & (none | (last != k))
+
+
+def _heat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, n): documents that hold keys of a shard, summed over the keys."""
+    for b in batches:
+        n = [int(np.frombuffer(x.as_py(), ARRAYS[1][1]).sum(dtype=np.int64)) for x in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["shard", "n"])
+
+
+def drop_common_lines(
+    df: DataFrame, text: str = "text", key: str = "doc_id", least: int = 40, documents: int = 5, keep: tuple[str, ...] = (), fits: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, most: int = PROBES
+) -> DataFrame:
     """(kept columns, key, text without its common lines, n_lines, n_dropped) of every row."""
     spark = df.sparkSession
-    index = build_index(df, text, key, least, documents)
+    index, shards, pairs = build_index(df, text, key, least, documents, shard_keys)
     names = ("sizes", "bits", "prints", "counts", "lasts")
-    size = index.agg(F.sum(sum((F.length(x) for x in names[1:]), F.length(names[0])).cast("long")), F.max("shards")).first()
+    size = index.agg(F.sum(sum((F.length(x) for x in names[1:]), F.length(names[0])).cast("long"))).first()[0]
     src = bounded(df).select(*keep, F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     kept = [f"`{n}` {t}" for n, t in src.dtypes]
     result = ", ".join(kept) + ", n_lines long, n_dropped long"
-    shards = size[1] or 1
 
     def kept_lines(raw: bytes, drop: set[int], lines: list[bytes]) -> bytes:
         return b"\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else raw
 
-    if (size[0] or 0) <= fits:
+    if (size or 0) <= fits:
         layers: dict[int, list] = {}
         for r in index.collect():
             layers.setdefault(r["shard"], []).append(tuple(bytes(r[x]) for x in names))
@@ -206,9 +227,9 @@ def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", le
                 raw, at = data.tobytes(), offsets.tolist()
                 rows = [_lines(raw[x:y], least) for x, y in zip(at, at[1:], strict=False)]
                 pairs = np.array([p for r in rows for p in r[2]], np.int64).reshape(-1, 2)
-                keys = b.column(b.num_columns - 2).to_numpy(zero_copy_only=False)
-                keys = np.array([-1 if x is None or x != x else x for x in keys.tolist()], np.int64)
-                gone = _dropped(arrays, shards, pairs[:, 0], pairs[:, 1], np.repeat(keys, [len(r[2]) for r in rows]))
+                keys, each = b.column(b.num_columns - 2), [len(r[2]) for r in rows]
+                ids, none = keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False)
+                gone = _dropped(arrays, shards, pairs[:, 0], pairs[:, 1], np.repeat(ids, each), np.repeat(none, each))
                 out, n, i = [], [], 0
                 for j, (lines, numbers, _) in enumerate(rows):
                     drop = {numbers[x] for x in np.flatnonzero(gone[i : i + len(numbers)]).tolist()}
@@ -220,30 +241,59 @@ def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", le
 
         return src.mapInArrow(probe, result)
 
-    # Too large to send around: line hashes go to the shards, and lists of lines to drop come back by document.
+    # Too large to send around: line hashes go to the shards, and lists of lines to drop come back by document. A row
+    # without an id is known by its text's hash.
+    row = [F.col(key).alias("k"), F.when(F.col(key).isNull(), F.xxhash64(text)).alias("g")]
+    copies = np.ones(shards, np.int64)
+    hot = index.select("shard", "n", "counts").mapInArrow(_heat, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()  # a row a shard
+    for r in hot:
+        copies[r["shard"]] = max(1, -(-(r["n"] + pairs // shards) // most))
+    schema = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), *((x, pa.int64()) for x in ("k", "g", "h", "f")), *((x, pa.binary()) for x in names)])
+    flat = "shard int, salt int, k long, g long, h long, f long, " + ", ".join(f"{x} binary" for x in names)
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_batch(batches):
-            data, offsets = raw_text(b.column(1))
+            data, offsets = raw_text(b.column(2))
             raw, at = data.tobytes(), offsets.tolist()
-            rows = {(k, *p) for i, k in enumerate(b.column(0).to_pylist()) for p in _lines(raw[at[i] : at[i + 1]], least)[2]}
-            cols = [list(x) for x in zip(*rows, strict=True)] or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["k", "h", "f"])
-
-    probes = src.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(hashed, "k long, h long, f long")
-    probes = probes.withColumns({"shard": F.pmod("h", F.lit(shards)).cast("int"), "salt": F.pmod("k", F.lit(SALTS)).cast("int")})
-    arrays = index.drop("shards").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-    def lookup(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"k": pd.Series([], dtype="int64"), "h": pd.Series([], dtype="int64"), "f": pd.Series([], dtype="int64")})
-        one = Shard([tuple(bytes(x) for x in r) for r in right[list(names)].itertuples(index=False)])
-        h, f, k = (left[x].to_numpy(np.int64) for x in ("h", "f", "k"))
-        count, last = one.lookup(h, f)
-        return left.loc[(count > 0) & (last != k), ["k", "h", "f"]]
-
-    gone = probes.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInPandas(lookup, "k long, h long, f long")
-    gone = gone.groupBy("k").agg(F.collect_set(F.struct("h", "f")).alias("\x00gone")).withColumnRenamed("k", "\x00k")
-    joined = src.join(gone, F.col(key) == F.col("\x00k"), "left").drop("\x00k")
+            rows = {(k, g, *p) for i, (k, g) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) for p in _lines(raw[at[i] : at[i + 1]], least)[2]}
+            k, g, h, f = ([x[i] for x in rows] for i in range(4))
+            shard = np.array(h, np.int64) % shards
+            salt = np.array([hash((a, c)) for a, c in zip(k, g, strict=True)], np.int64) % copies[shard]
+            cols = [pa.array(shard.astype(np.int32)), pa.array(salt.astype(np.int32)), *(pa.array(x, pa.int64()) for x in (k, g, h, f)), *(pa.nulls(len(h), pa.binary()) for _ in names)]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                for salt in range(int(copies[r["shard"]])):
+                    yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | r | {"salt": salt}], schema=schema)
+
+    def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, layers, one = None, [], None
+        for b in batches:
+            shard, salt = b.column(0).to_numpy(), b.column(1).to_numpy()
+            head = b.column(6).is_valid().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])]))[: len(shard)]
+            out = [np.zeros(0, np.int64)]
+            for s, e in zip(starts.tolist(), np.append(starts[1:], len(shard)).tolist(), strict=True):
+                if own != (shard[s], salt[s]):
+                    own, layers, one = (shard[s], salt[s]), [], None
+                for i in range(s, s + int(head[s:e].sum())):  # a shard's arrays come before its hashes
+                    layers.append(tuple(b.column(6 + j)[i].as_py() for j in range(len(names))))
+                    s, one = i + 1, None
+                if s < e and layers:
+                    one = one or Shard(layers)
+                    k, h, f = (b.column(i).slice(s, e - s) for i in (2, 4, 5))
+                    none = k.is_null().to_numpy(zero_copy_only=False)
+                    out.append(s + np.flatnonzero(_gone(one, h.to_numpy(), f.to_numpy(), k.fill_null(0).to_numpy(), none)))
+            yield b.take(pa.array(np.concatenate(out))).select(["k", "g", "h", "f"])
+
+    probes = src.select(*row, F.col(text).alias("t")).mapInArrow(hashed, flat)
+    streams = probes.unionByName(index.select("shard", *names).mapInArrow(copied, flat))
+    gone = streams.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("sizes").isNull()).mapInArrow(lookup, "k long, g long, h long, f long")
+    gone = gone.groupBy(F.col("k").alias("\x00k"), F.col("g").alias("\x00g")).agg(F.collect_set(F.struct("h", "f")).alias("\x00gone"))
+    src = src.withColumn("\x00of", row[1])
+    joined = src.join(gone, F.col(key).eqNullSafe(F.col("\x00k")) & F.col("\x00of").eqNullSafe(F.col("\x00g")), "left").drop("\x00k", "\x00g", "\x00of")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_batch(batches):
