@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -32,6 +33,15 @@ def test_segments_equal_brute_force(kinds, rnd):
     assert np.allclose([s for s, _, _ in got], [s for s, _, _ in want])
 
 
+def test_segments_of_a_long_text():
+    """100,000 positive tokens under negative drift: linear, so well under the minutes that a quadratic scan takes."""
+    r = np.random.default_rng(1)
+    began = time.process_time()
+    got = segments(r.uniform(0.1, 1, 100_000), np.arange(100_000) * 3, -0.4)
+    assert time.process_time() - began < 5 and len(got) > 50_000
+    assert all(x[2] < y[1] for x, y in itertools.pairwise(got))
+
+
 def test_rate():
     assert abs(rate_of(np.array([0.2, 0.8]), np.array([np.log(0.5 / 0.2), np.log(0.5 / 0.8)])) - 1) < 1e-6
 

@@ -61,9 +61,10 @@ def segments(score: np.ndarray, at: np.ndarray, other: float) -> list[tuple[floa
 
     `score` are the scores of the tokens at the ascending positions `at`; tokens between them score `other` < 0.
     Each candidate keeps the sum before it and after it; a candidate joins back to the nearest one that began lower,
-    unless that one also ended higher.
+    unless that one also ended higher. Candidates link to the nearest lower one, so that a search never looks twice at
+    those between: the scan is linear.
     """
-    stack: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last
+    stack: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, last, link
     total, next_at = 0.0, 0
     for s, i in zip(score.tolist(), at.tolist(), strict=True):
         total += other * (i - next_at)
@@ -71,17 +72,17 @@ def segments(score: np.ndarray, at: np.ndarray, other: float) -> list[tuple[floa
         low, total = total, total + s
         if s <= 0:
             continue
-        new = (low, total, i, i)
+        first, k = i, len(stack) - 1
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] >= new[0]:
-                k -= 1
-            if k < 0 or stack[k][1] >= new[1]:
-                stack.append(new)
+            while k >= 0 and stack[k][0] >= low:
+                k = stack[k][4]
+            if k < 0 or stack[k][1] >= total:
+                stack.append((low, total, first, i, k))
                 break
-            new = (stack[k][0], new[1], stack[k][2], new[3])
+            low, _, first, _, link = stack[k]
             del stack[k:]
-    return [(r - l, a, b) for l, r, a, b in stack]
+            k = link
+    return [(r - l, a, b) for l, r, a, b, _ in stack]
 
 
 def rate_of(shares: np.ndarray, scores: np.ndarray) -> float:
