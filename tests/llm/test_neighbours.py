@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +9,8 @@ from textloom.llm.neighbours import best, nearest
 
 def brute(rows, asked, k=20):
     keep = {}
-    d = max((len(v) for _, v in rows if v is not None), default=0)
+    d = Counter(len(v) for _, v in rows if v is not None and any(v) and all(x is not None and np.isfinite(x) for x in v))
+    d = max(d, key=lambda x: (d[x], x), default=0)
     for i, v in rows:
         if i is not None and v is not None and len(v) == d and all(x is not None and np.isfinite(x) for x in v) and any(v):
             keep.setdefault(i, [float(np.float32(x)) for x in v])

@@ -12,15 +12,16 @@ equal, so that nearness in the graph follows it; there they are held in half pre
 
 Nothing is collected and nothing of the data's size is broadcast; list lengths, beam and blocks are parameters.
 
-Defined results: null vectors, zero vectors, vectors with null or non-finite components and vectors shorter than
-the longest take no part; rows of one id count once (the smallest vector); ties go to the smaller id; other columns
-are not read.
+Defined results: null vectors, zero vectors, vectors with null or non-finite components and, of the others, those
+that haven't the most frequent length (the larger of equally frequent ones) take no part; rows of one id count once
+(the smallest vector); ties go to the smaller id; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,9 @@ class Settings:
     block: int = 256
     rounds: int = 2
     #: Beam of a query, all of which is expanded in the end; best nodes looked at in the first hop (four times as many in
-    #: each that follows), and most hops.
+    #: each that follows).
     beam: int = 320
     first: int = 8
-    hops: int = 20
     #: Nodes of largest norm at which every search starts too: large inner products may lie far from the query itself.
     entries: int = 64
     seed: int = 5
@@ -113,7 +113,9 @@ def vectors(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, type]:
     wide = dict(df.dtypes)[vector] != "array<float>"
     kind = np.float64 if wide else np.float32
     src = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>" if wide else "array<float>").alias("v")).where("id is not null and v is not null")
-    d = src.agg(F.max(F.size("v"))).first()[0] or 0
+    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    d = src.where(whole).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    d = d[0] if d else 0
     schema = pa.schema([("id", pa.int64()), ("vec", pa.binary()), ("norm2", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +273,8 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, se
     asked = cut(starts.join(nodes.select("id", "vec", "norm2"), starts["q"] == F.col("id")).select("q", "vec", "norm2"))
     beam = asked.select("q", F.col("q").alias("x"), F.col("norm2").alias("s"), F.lit(False).alias("done"), F.lit(0).alias("rank"), F.lit(float("-inf")).alias("least"))
     tops = [r["id"] for r in nodes.orderBy(F.desc("norm2"), "id").select("id").limit(settings.entries).collect()]
-    for hop in range(settings.hops):
-        reach = min(settings.beam, settings.first << 2 * hop)
+    for hop in count():  # a node is expanded once for a query, so this ends
+        reach = min(settings.beam, settings.first << 2 * min(hop, 16))
         open_ = beam.where((~F.col("done")) & (F.col("rank") < reach))
         if reach == settings.beam and open_.isEmpty():
             break
