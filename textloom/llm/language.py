@@ -5,12 +5,12 @@ touch its edges (affixes), and the word itself (lexicon). Transition weights are
 from pieces of several labelled texts, as code-switched text would be. Forward-backward gives every word of a
 text its language; the text takes the language with the largest share of the posterior mass.
 
-The field is fitted on a bounded sample of labelled rows (`Settings.per_label` texts a label); prediction reads
-every word of every text.
+The field is fitted on a bounded sample of labelled rows (`Settings.per_label` texts of each of at most
+`Settings.labels` labels); prediction reads every word of every text, however long.
 
 Defined results: `und` with score 0 for a null text or one without a letter; ties go to the label that sorts
-first; equal texts get equal predictions; no labelled row at all gives `und` throughout; other columns of the
-input are not read.
+first; equal texts get equal predictions, repeated rows one each; no labelled row at all gives `und` throughout, an
+empty table an empty one; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from .common import bounded, coded_words, crc_of_id, each_batch, folded, letter_
 
 @dataclass(frozen=True)
 class Settings:
-    #: Expected number of sampled texts of each label, and the longest text that the sample takes, in characters.
+    #: Expected number of sampled texts of each label, the most labels learned (the most frequent ones; one that few rows
+    #: carry by mistake is no language), and the longest text that the sample takes, in characters.
     per_label: int = 300
+    labels: int = 256
     longest: int = 20_000
     buckets: int = 1 << 17
     length: int = 32
@@ -226,12 +228,12 @@ def train(df: DataFrame, text: str = "text", key: str = "doc_id", label: str = "
     """Fit on a sample of the labelled rows; which rows are in it depends on their ids and texts alone."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("y")).where("y is not null and t is not null")
     rows = rows.where(F.length("t") <= settings.longest)
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(settings.labels).collect()}
     if not sizes:
         return fit([], settings)
     coin = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
     share = F.create_map(*(F.lit(x) for y, n in sorted(sizes.items()) for x in (y, min(1 << 30, (settings.per_label << 30) // n + 1))))
-    picked = rows.where(coin < share[F.col("y")]).select("t", "y").collect()
+    picked = rows.where(coin < F.try_element_at(share, F.col("y"))).select("t", "y").collect()
     return fit(sorted((r["t"], r["y"]) for r in picked), settings)
 
 
