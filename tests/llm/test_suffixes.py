@@ -42,11 +42,11 @@ def corpus(seed, window):
     return out
 
 
-@pytest.mark.parametrize("window,gram,crowd", [(60, 40, 50_000), (60, 24, 4), (61, 61, 2), (400, 256, 50_000)])
-def test_equals_brute_force(spark, window, gram, crowd):
+@pytest.mark.parametrize("window,gram,crowd,most", [(60, 40, 50_000, 64), (60, 24, 4, 64), (60, 24, 4, 2), (60, 40, 50_000, 1), (61, 61, 2, 1), (400, 256, 50_000, 3)])
+def test_equals_brute_force(spark, window, gram, crowd, most):
     rows = corpus(window + gram, window)
     df = spark.createDataFrame([(*x, "clash", 1) for x in rows], "doc_id long, text string, kept string, t int")
-    got = remove_repeats(df, window=window, gram=gram, crowd=crowd)
+    got = remove_repeats(df, window=window, gram=gram, crowd=crowd, most=most)
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()), key=repr)
     assert got == brute(rows, window)
     assert any(x[2] for x in got) and any(0 < x[2] < x[1] for x in got)
@@ -58,7 +58,7 @@ def test_crowd_in_parts(spark):
     r = random.Random(5)
     side = lambda: bytes(r.choice(b"abcdefgh") for _ in range(window - gram))
     contexts = [(side(), side()) for _ in range(6)]
-    rows = [(7, t, 100, 20, 0, 0, *contexts[t % 6]) for t in range(7)]
+    rows = [(None, None, 7, t, 100, 20, 0, 0, *contexts[t % 6]) for t in range(7)]
     hoods = spark.createDataFrame(rows, suffixes.HOODS).coalesce(1)
     found = set()
     with pytest.MonkeyPatch.context() as m:
@@ -68,12 +68,23 @@ def test_crowd_in_parts(spark):
             while not hoods.isEmpty():
                 got = suffixes.matched(hoods, window, gram, crowd).collect()
                 found |= {x.t for x in got if x.lo is not None}
-                hoods = spark.createDataFrame([tuple(x)[2:] for x in got if x.lo is None], suffixes.HOODS)
+                hoods = spark.createDataFrame([tuple(x) for x in got if x.lo is None], suffixes.HOODS)
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found == {0, 6}
 
 
+def test_common_periodic_passage(spark):
+    """Many texts share runs of one short period: their anchors are thinned out and dealt under longer names."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9)))
+    rows = [(i, f"{word()} {'ha ' * r.randint(20, 60)}{word()} {word()}" if i % 3 else " ".join(word() for _ in range(20))) for i in range(300)]
+    rows += [(1000, "ha " * 40_000), (1001, "q" + "ha " * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = remove_repeats(df, window=60, gram=24, most=8).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got), key=repr) == brute(rows, 60)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -12,9 +12,11 @@ window of its occurrence lies within window - gram bytes around it, its context.
    there are equal.
 4. Spans come back to the texts, which lose the bytes they cover.
 
-An anchor with more than CROWD occurrences isn't held by one task: each of its matches shares half of the missing
-context before or behind it, so the occurrences are dealt again by hashes of either half, until few are left
-together or the whole window is named.
+Common anchors are thinned out before they are dealt: of equal contexts in an Arrow batch one goes on. An anchor with
+more than THIN unlike ones in some batch, or more than CROWD in all, is crowded and isn't dealt as such: each of its
+matches shares half of the missing context before or behind it, so the occurrences are dealt by hashes of either half,
+until few are left together or the whole window is named. The batch that finds a crowd deals a mark in its stead, by
+which the occurrences from other batches are told to go the same way.
 
 Defined results: a null or empty text, or one shorter than the window, loses nothing; equal texts, and rows of one
 doc_id, are separate places that match each other; overlapping occurrences within a text count; other columns are
@@ -24,6 +26,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ WINDOW, GRAM = 400, 256
 SHALLOW = 32
 #: Most occurrences of an anchor that a task holds together; most rows of a run that it looks at together.
 CROWD, ROWS = 50_000, 200_000
+#: Most occurrences of one anchor, or longer name, that an Arrow batch deals under it.
+THIN = 64
 
 
 class Trie:
@@ -169,15 +174,29 @@ def reach(group: np.ndarray, before: list[bytes], behind: list[bytes], need: int
     return np.where(none, 1, low), np.where(none, 0, high)
 
 
-SPAN = pa.schema([("t", pa.int64()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("h", pa.int64()), ("at", pa.int64())])
-SPANS = "t long, n long, lo long, hi long, h long, at long"
+SPAN = pa.schema([*((x, pa.int64()) for x in ("t", "n", "lo", "hi", "h", "at")), ("crowded", pa.bool_())])
+SPANS = "t long, n long, lo long, hi long, h long, at long, crowded boolean"
+#: In place of an anchor's bytes behind: what else a row of find_anchors is.
+MARK, COVERED, CROWDED = 509, 510, 511
 
 
-def spans(t, n, lo, hi, h=None, at=None) -> pa.RecordBatch:
+def spans(t, n, lo, hi, h=None, at=None, crowded=None) -> pa.RecordBatch:
     """Spans to remove (h null), or occurrences that go on (lo, hi null)."""
     nulls = pa.nulls(len(t), pa.int64())
     cols = [nulls if c is None else pa.array(np.asarray(c, np.int64)) for c in (t, n, lo, hi, h, at)]
-    return pa.RecordBatch.from_arrays(cols, schema=SPAN)
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(t), pa.bool_()) if crowded is None else pa.array(crowded)], schema=SPAN)
+
+
+def joined(t: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same bytes of the texts in as few spans."""
+    if not len(t):
+        return t, n, lo, hi
+    order = np.lexsort((lo, n, t))
+    t, n, lo, hi = t[order], n[order], lo[order], hi[order]
+    text = np.concatenate([[0], np.cumsum((t[1:] != t[:-1]) | (n[1:] != n[:-1]))]) << 28
+    end = np.maximum.accumulate(text + hi)
+    first = np.flatnonzero(np.concatenate([[True], (text + lo)[1:] > end[:-1]]))
+    return t[first], n[first], lo[first], np.maximum.reduceat(hi, first)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -209,10 +228,43 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def find_anchors(df: DataFrame, window: int, gram: int) -> DataFrame:
+def unpacked(place: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Length of the text, position, and the span of the anchor's context."""
+    n, at = place >> 36, place >> 9 & (1 << 27) - 1
+    return n, at, np.maximum(0, at - (window - gram)), at + (place & 511)
+
+
+def thinned(h: np.ndarray, c: np.ndarray, t: np.ndarray, place: np.ndarray, window: int, gram: int, most: int) -> tuple[np.ndarray, ...]:
+    """Rows of find_anchors: one of equal contexts, what those cover, crowded anchors under hashes of their own, and their marks."""
+    order = np.lexsort((c, h))
+    h, c, t, place = h[order], c[order], t[order], place[order]
+    new_h = np.concatenate([[True], h[1:] != h[:-1]])
+    new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+    if new_c.all():
+        gone = (np.zeros(0, np.int64),) * 4
+    else:
+        of_c = np.diff(np.append(np.flatnonzero(new_c), len(h)))
+        n, _, lo, hi = unpacked(place, window, gram)
+        own = (np.repeat(of_c, of_c) > 1) & (hi - lo >= window)
+        u, n, lo, hi = joined(t[own], n[own], lo[own], hi[own])
+        gone = (mixed(u.view(np.uint64) + lo.astype(np.uint64)).view(np.int64), lo << 32 | hi, u, n << 36 | COVERED)
+    h, c, t, place, new_h = h[new_c], c[new_c], t[new_c], place[new_c], new_h[new_c]
+    size = np.diff(np.append(np.flatnonzero(new_h), len(h)))
+    names = h[new_h][size > most]
+    over = np.repeat(size > most, size)
+    parts = [
+        (h[~over], c[~over], t[~over], place[~over]), gone,
+        (c[over], h[over], t[over], place[over] | CROWDED), (names, np.full(len(names), np.iinfo(np.int64).min), np.zeros(len(names), np.int64), np.full(len(names), MARK)),
+    ]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def find_anchors(df: DataFrame, window: int, gram: int, most: int = THIN) -> DataFrame:
     """(h, c, t, place): hash of each anchor's gram and context, the text's hash, and length, position and bytes behind in one."""
     schema = pa.schema([(x, pa.int64()) for x in ("h", "c", "t", "place")])
     need = window - gram
+    if window >= MARK:
+        raise ValueError(f"windows are shorter than {MARK} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
@@ -230,49 +282,106 @@ def find_anchors(df: DataFrame, window: int, gram: int) -> DataFrame:
                 c = mixed(roll.of(first, end) + (at - first).astype(np.uint64))
                 out.append((grams[at].view(np.int64), c.view(np.int64), np.full(len(at), t), n << 36 | at << 9 | (end - at)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+                rows = thinned(*(np.concatenate(x) for x in zip(*out, strict=True)), window, gram, most)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], schema=schema)
 
     return df.mapInArrow(run, "h long, c long, t long, place long")
 
 
 def settle(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """From anchors dealt by h: spans of equal contexts, and occurrences with unlike ones."""
-    need = window - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(0, np.int64)
         for tab in pieces(batches, ROWS):
             h, c, t, place = (tab.column(i).to_numpy() for i in range(4))
-            new_h = np.concatenate([[True], h[1:] != h[:-1]])
-            new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
-            if new_h.all():
+            kind = place & 511
+            if (own := np.flatnonzero(kind == COVERED)).size:
+                yield spans(t[own], place[own] >> 36, c[own] >> 32, c[own] & (1 << 32) - 1)
+            if (own := np.flatnonzero(kind == CROWDED)).size:
+                n, at, _, _ = unpacked(place[own], window, gram)
+                yield spans(t[own], n, None, None, c[own], at, np.ones(len(own), bool))
+            # A run that comes in parts has its marks in the first.
+            marked = np.union1d(h[kind == MARK], marked[marked == h[0]])
+            own = kind < MARK
+            h, c, t, place = h[own], c[own], t[own], place[own]
+            new_h = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+            if new_h.all() and not len(marked):
                 continue
+            new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])[: len(h)]
             first_c = np.flatnonzero(new_c)
             of_c = np.diff(np.append(first_c, len(h)))
             many = np.repeat(of_c, of_c) > 1
-            n, at, behind = place >> 36, place >> 9 & (1 << 27) - 1, place & 511
-            lo, hi = np.maximum(0, at - need), at + behind
+            n, at, lo, hi = unpacked(place, window, gram)
             own = np.flatnonzero(many & (hi - lo >= window))
             if len(own):
-                u = np.unique(np.stack([t[own], n[own], lo[own], hi[own]], 1), axis=0)
-                yield spans(*u.T)
+                yield spans(*joined(t[own], n[own], lo[own], hi[own]))
             first_h = np.flatnonzero(new_h)
-            contexts = np.add.reduceat(new_c.astype(np.int64), first_h)
-            unlike = np.repeat(contexts > 1, np.diff(np.append(first_h, len(h)))) & new_c
+            contexts = np.add.reduceat(new_c.astype(np.int64), first_h) if len(h) else first_h
+            crowded = np.isin(h, marked)
+            unlike = (crowded | np.repeat(contexts > 1, np.diff(np.append(first_h, len(h))))) & new_c
             if unlike.any():
-                yield spans(t[unlike], n[unlike], None, None, h[unlike], at[unlike])
+                yield spans(t[unlike], n[unlike], None, None, h[unlike], at[unlike], crowded[unlike])
 
     return rows.repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, SPANS)
 
 
 HOOD = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("before", pa.binary()), ("behind", pa.binary())])
-HOODS = "key long, t long, n long, at long, left int, right int, before binary, behind binary"
+FOUND = pa.schema([("lo", pa.int64()), ("hi", pa.int64()), *HOOD])
+HOODS = "lo long, hi long, key long, t long, n long, at long, left int, right int, before binary, behind binary"
+
+
+def longer(left: int, right: int, need: int) -> set[tuple[int, int]]:
+    """Context lengths of which each match has one: twice, half of what is missing is before or behind."""
+    out = {(left, right)}
+    for _ in range(2):
+        out = {x for a, b in out for half in [-(-(need - a - b) // 2)] for x in ((a + half, b), (a, b + half))}
+    return out
+
+
+def split(rows: list[dict], need: int, window: int) -> Iterator[dict]:
+    """Occurrences of HOODS under longer names, and spans (lo, hi) of what matches already.
+
+    A name leaves some offsets of the window open. Of the rows that agree in all bytes of these, one goes on, as all
+    have matches at each of them. An occurrence whose whole window is named is a match by itself.
+    """
+    found: list[tuple[int, int, int, int]] = []
+    alike: dict[tuple, list[dict]] = {}
+    for r in rows:
+        if r["left"] + r["right"] == need:
+            found.append((r["t"], r["n"], r["at"] - r["left"], r["at"] - r["left"] + window))
+            continue
+        for left, right in longer(r["left"], r["right"], need):
+            if len(r["before"]) >= left and len(r["behind"]) >= right:
+                name = xxhash.xxh3_64_intdigest(b"%d %d %d " % (r["key"], left, right) + r["before"][:left] + r["behind"][:right])
+                name -= name >> 63 << 64
+                row = r | {"key": name, "left": left, "right": right}
+                before, behind = r["before"][: need - right], r["behind"][: need - left]
+                if len(before) + len(behind) < 2 * need - left - right:  # the text ends before
+                    yield row
+                else:
+                    alike.setdefault((name, before, behind), []).append(row)
+    for same in alike.values():
+        yield same[0]
+        if len({(r["t"], r["n"], r["at"]) for r in same}) > 1:
+            found += [(r["t"], r["n"], r["at"] + r["right"] - need, r["at"] - r["left"] + window) for r in same]
+    if found:
+        for t, n, lo, hi in zip(*(x.tolist() for x in joined(*np.array(found, np.int64).T)), strict=True):
+            yield {"lo": lo, "hi": hi, "t": t, "n": n, "key": t}
+
+
+def listed(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of dictionaries, whose missing fields are null."""
+    while part := list(islice(rows, 4000)):
+        yield pa.RecordBatch.from_pylist(part, schema=schema)
 
 
 def neighbourhoods(df: DataFrame, places: DataFrame, window: int, gram: int) -> DataFrame:
-    """Occurrences with the bytes around them: HOODS, key being the anchor's hash."""
+    """HOODS: occurrences with the bytes around them, key being the anchor's hash, crowded ones under longer names; and
+    spans that those show (lo and hi not null)."""
     need = window - gram
-    wanted = places.groupBy("t", "n").agg(F.collect_set(F.struct("at", "h")).alias("places"))
-    joined = df.join(wanted, ["t", "n"]).select("t", "n", "text", "places")
+    wanted = places.groupBy("t", "n").agg(F.collect_set(F.struct("at", "h", "crowded")).alias("places"))
+    texts = df.join(wanted, ["t", "n"]).select("t", "n", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -280,6 +389,7 @@ def neighbourhoods(df: DataFrame, places: DataFrame, window: int, gram: int) ->
             data, offsets = raw_text(b.column(2))
             raw = data.tobytes()
             cols: list[list] = [[] for _ in HOOD]
+            crowded: list[dict] = []
             ids = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 if ids[i] == last:  # a copy of the text before
@@ -288,31 +398,66 @@ def neighbourhoods(df: DataFrame, places: DataFrame, window: int, gram: int) ->
                 for p in b.column(3)[i].as_py():
                     at = p["at"]
                     row = (p["h"], *last, at, 0, 0, raw[a + max(0, at - need) : a + at][::-1], raw[a + at + gram : min(z, a + at + window)])
+                    if p["crowded"] and need:
+                        crowded.append(dict(zip(HOOD.names, row, strict=True)))
+                        continue
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, HOOD, strict=True)], schema=HOOD)
+            blank = pa.nulls(len(cols[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([blank, blank, *(pa.array(x, f.type) for x, f in zip(cols, HOOD, strict=True))], schema=FOUND)
+            yield from listed(split(crowded, need, window), FOUND)
 
-    return bounded(joined).mapInArrow(run, HOODS)
+    return bounded(texts).mapInArrow(run, HOODS)
 
 
-def matched(hoods: DataFrame, window: int, gram: int, crowd: int) -> DataFrame:
-    """(t, n, lo, hi) of occurrences that match another one, and crowded occurrences as HOODS again (lo null)."""
+def matched(hoods: DataFrame, window: int, gram: int, crowd: int, most: int = THIN) -> DataFrame:
+    """HOODS of HOODS: spans of occurrences that match another one, spans given, and crowded occurrences under longer names."""
     need = window - gram
-    out = pa.schema([("lo", pa.int64()), ("hi", pa.int64()), *HOOD])
+    out = FOUND
+    # In the shuffle, done is 0 for an occurrence, 1 for a row of the result, -1 for a crowded name's mark, which comes first.
+    dealt = pa.schema([*out, ("done", pa.int32())])
+
+    def flagged(b: pa.RecordBatch, done: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, done, np.int32))], schema=dealt)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            if given.any():
+                yield flagged(b.filter(pa.array(given)), 1)
+            b = b.filter(pa.array(~given))
+            _, first = np.unique(np.stack([b.column(i).to_numpy() for i in range(2, 6)], 1), axis=0, return_index=True)
+            b = b.take(pa.array(first))  # copies of a text may have sent an occurrence twice
+            names, code, counts = np.unique(b.column(2).to_numpy(), return_inverse=True, return_counts=True)
+            over = (counts > most)[code]
+            yield flagged(b.filter(pa.array(~over)), 0)
+            if over.any():
+                yield from listed((x | {"done": 1} for x in split(b.filter(pa.array(over)).to_pylist(), need, window)), dealt)
+                yield from listed(iter([{"key": int(k), "done": -1} for k in names[counts > most]]), dealt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []
-        size, going_on = 0, np.zeros(0, np.int64)
-        for tab in pieces(batches, crowd):
+        size, going_on, marked = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for tab in pieces((b.select([2, *range(b.num_columns)]) for b in batches), crowd):
+            tab = tab.select(range(1, tab.num_columns))
+            key, done = tab.column(2).to_numpy(), tab.column(10).to_numpy()
+            marked = np.union1d(key[done < 0], marked[marked == key[0]])
+            if (done > 0).any():
+                yield from tab.filter(pa.array(done > 0)).select(out.names).to_batches()
+            tab = tab.filter(pa.array(done == 0)).select(HOOD.names)
+            if not tab.num_rows:
+                continue
             key = tab.column(0).to_numpy()
             counts = np.unique(key, return_counts=True)
             # A run that comes in parts is hot as a whole: its last part may be small.
             hot = np.union1d(counts[0][counts[1] > crowd], going_on)
             going_on = hot[hot == key[-1]]
+            hot = np.union1d(hot, marked)
             if len(hot):
-                over = tab.filter(pa.array(np.isin(key, hot)))
-                yield from split(over)
-                tab = tab.filter(pa.array(~np.isin(key, hot)))
+                over = np.isin(key, hot)
+                for part in tab.filter(pa.array(over)).to_batches(4000):
+                    yield from listed(split(part.to_pylist(), need, window), out)
+                tab = tab.filter(pa.array(~over))
             if not tab.num_rows:
                 continue
             # Small runs are sorted together.
@@ -339,44 +484,29 @@ def matched(hoods: DataFrame, window: int, gram: int, crowd: int) -> DataFrame:
         blank[1], blank[2] = pa.array(t[hit]), pa.array(n[hit])
         return pa.RecordBatch.from_arrays([pa.array(at[hit] - high[hit]), pa.array(at[hit] - low[hit] + window), *blank], schema=out)
 
-    def split(tab: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Each occurrence under a longer name to the left, and one to the right; a whole window is a match by itself."""
-        rows = []
-        for r in tab.to_pylist():
-            rest = need - r["left"] - r["right"]
-            half = -(-rest // 2)
-            for left, right in {(r["left"] + half, r["right"]), (r["left"], r["right"] + half)} if rest else ():
-                if len(r["before"]) >= left and len(r["behind"]) >= right:
-                    name = xxhash.xxh3_64_intdigest(b"%d %d %d " % (r["key"], left, right) + r["before"][:left] + r["behind"][:right])
-                    rows.append({"lo": None, "hi": None} | r | {"key": name - (name >> 63 << 64), "left": left, "right": right})
-            if not rest:
-                lo = r["at"] - r["left"]
-                rows.append(dict.fromkeys(out.names) | {"lo": lo, "hi": lo + window, "t": r["t"], "n": r["n"]})
-        for i in range(0, len(rows), 4000):
-            yield pa.RecordBatch.from_pylist(rows[i : i + 4000], schema=out)
-
-    return bounded(hoods).repartition("key").sortWithinPartitions("key", "t", "n", "at").mapInArrow(run, "lo long, hi long, " + HOODS)
-
-
-def find_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    rows = bounded(hoods).mapInArrow(thin, HOODS + ", done int").repartition("key").sortWithinPartitions("key", "done", "t", "n", "at")
+    return rows.mapInArrow(run, HOODS)
+
+
+def find_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, most: int = THIN) -> DataFrame:
     """(t, n, lo, hi): spans of texts (t, n, text) that are covered by repeated windows."""
-    settled = cut(settle(find_anchors(bounded(df).select("t", "text"), window, gram), window, gram))
+    settled = cut(settle(find_anchors(bounded(df).select("t", "text"), window, gram, most), window, gram))
     found = settled.where("h is null").select("t", "n", "lo", "hi")
     rows = neighbourhoods(df, settled.where("h is not null"), window, gram)
     while True:
-        got = cut(matched(rows, window, gram, crowd))
+        got = cut(matched(rows, window, gram, crowd, most))
         found = found.unionByName(got.where("lo is not null").select("t", "n", "lo", "hi"))
-        rows = got.where("lo is null").drop("lo", "hi")
+        rows = got.where("lo is null")
         if rows.isEmpty():
             return found
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, most: int = THIN) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary) of every row."""
     src = bounded(df).select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     src = src.withColumns({"t": F.xxhash64("text"), "n": F.octet_length("text").cast("long")})
-    of_text = find_repeats(src, window, gram, crowd).distinct().groupBy("t", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = src.join(of_text, ["t", "n"], "left").select("k", "text", "spans")
+    of_text = find_repeats(src, window, gram, crowd, most).distinct().groupBy("t", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    rows = src.join(of_text, ["t", "n"], "left").select("k", "text", "spans")
     schema = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +527,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
                 rows.append((z - a, z - a - len(kept), len(runs), kept))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[j] for r in rows], schema.field(j + 1).type) for j in range(4))], schema=schema)
 
-    return joined.mapInArrow(run, "k long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, "k long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("k", key)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
