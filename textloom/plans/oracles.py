@@ -86,9 +86,13 @@ CTE = {
         LEFT JOIN c3 ON g.p2 = c3.w1 AND g.p1 = c3.w2, size GROUP BY doc_id, out_count""",
     "ends": r"""SELECT doc_id, k, token, coalesce(sum(regexp_matches(token, '[.!?]$')::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sent_id FROM idx""",
     "spans": """SELECT doc_id, sent_id, min(k) AS first, max(k) AS last FROM ends GROUP BY ALL""",
-    "alerts": r"""SELECT doc_id, k AS out_idx, CASE k % 3 WHEN 0 THEN 'SEGMENT' WHEN 1 THEN 'SPELL' ELSE 'GRAMMAR' END AS alert_type FROM idx WHERE (doc_id * 31 + k * 17) % 29 = 0 AND regexp_full_match(token, '\p{L}+')""",
+    "typed": f"""SELECT doc_id, k, token, {CLEAN} AS clean FROM (SELECT doc_id, token_idx AS k, CASE WHEN merge THEN token || nxt ELSE token END AS token FROM merged)""",
+    "typedends": r"""SELECT doc_id, k, coalesce(sum(regexp_matches(token, '[.!?]$')::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sent_id FROM typed""",
+    "typedspans": """SELECT doc_id, sent_id, min(k) AS first, max(k) AS last FROM typedends GROUP BY ALL""",
+    "alerts": r"""SELECT doc_id, k AS out_idx, unnest(CASE WHEN regexp_full_match(clean, '\p{L}+') AND NOT known THEN ['SEGMENT', 'SPELL'] WHEN NOT known OR length(trim(token)) >= 14 THEN ['SEGMENT'] ELSE [] END) AS alert_type
+        FROM (SELECT *, clean IN (SELECT w FROM tv WHERE lang = 'en') AS known FROM typed)""",
     "aps": """SELECT s.doc_id, s.sent_id, count(*) FILTER (WHERE alert_type = 'SEGMENT') AS n_merge, count(*) FILTER (WHERE alert_type = 'SPELL') AS n_spelling, count(*) FILTER (WHERE alert_type = 'GRAMMAR') AS n_grammar
-        FROM spans s LEFT JOIN alerts a ON a.doc_id = s.doc_id AND a.out_idx >= s.first AND a.out_idx <= s.last GROUP BY ALL""",
+        FROM typedspans s LEFT JOIN alerts a ON a.doc_id = s.doc_id AND a.out_idx >= s.first AND a.out_idx <= s.last GROUP BY ALL""",
     "ppl": """SELECT s2.doc_id, s2.sent_id, s2.n_tokens, pow(2, least(-s2.lp / (s2.n_tokens + 1), 50)) AS bigram_ppl, pow(2, least(-s3.lp / (s3.n_tokens + 1), 50)) AS trigram_ppl FROM s2 JOIN s3 USING (doc_id, sent_id)""",
     "ver": """SELECT *, CASE WHEN trigram_ppl <= 350 THEN 'Trigram LM' WHEN bigram_ppl <= 500 THEN 'Bigram LM' ELSE 'Bigram/Trigram LM' END AS method,
         CASE WHEN trigram_ppl <= 350 THEN 'Grammatical' WHEN bigram_ppl <= 500 THEN 'Questionable' ELSE 'Ungrammatical' END AS verdict FROM ppl""",
@@ -102,7 +106,7 @@ CTE = {
         CASE WHEN regexp_matches(token, 'as[.,]?$') THEN 'Gender=Fem|Number=Plur' WHEN regexp_matches(token, 'os[.,]?$') THEN 'Gender=Masc|Number=Plur' WHEN regexp_matches(token, 'a[.,]?$') THEN 'Gender=Fem|Number=Sing'
         WHEN regexp_matches(token, 'o[.,]?$') THEN 'Gender=Masc|Number=Sing' ELSE '_' END AS feats FROM tok WHERE lang = 'es'""",
     "mo": """SELECT w, upos, upos || CASE WHEN feats LIKE '%Fem%' THEN '-Fem' WHEN feats LIKE '%Masc%' THEN '-Masc' ELSE '' END || CASE WHEN feats LIKE '%Sing%' THEN '-Sg' WHEN feats LIKE '%Plur%' THEN '-Pl' ELSE '' END AS morph FROM es""",
-    "gs": """SELECT lang, doc_id, sent_id, list(w ORDER BY i) AS gold, string_agg(w, '' ORDER BY i) AS token FROM w JOIN split USING (doc_id, lang) WHERE NOT is_train GROUP BY ALL HAVING count(*) <= 40""",
+    "gs": """SELECT lang, doc_id, sent_id, list(w ORDER BY i) AS gold, string_agg(w, '' ORDER BY i) AS token FROM w JOIN split USING (doc_id, lang) WHERE NOT is_train GROUP BY ALL""",
     "gl": """SELECT lang, max(length(w)) AS most FROM tv GROUP BY lang""",
     "gt": """SELECT DISTINCT lang, token, length(token) AS n, unnest(range(0, length(token))) AS ofs FROM gs""",
     "gc": """SELECT lang, token, ofs, unnest(range(1, least(most, n - ofs) + 1)) AS len FROM gt JOIN gl USING (lang)""",
@@ -242,9 +246,9 @@ SQL = {
     "segment_gate": sql("merged tv", f"""SELECT token, known, NOT known OR length(trim(token)) >= 14 AS gated FROM (SELECT DISTINCT token, {CLEAN} IN (SELECT w FROM tv WHERE lang = 'en') AS known FROM (SELECT CASE WHEN merge THEN token || nxt ELSE token END AS token FROM merged))"""),
     "spell_gate": sql("tok tv", rf"""SELECT DISTINCT token, {CLEAN} AS clean FROM tok WHERE lang = 'en' AND regexp_full_match({CLEAN}, '\p{{L}}+') AND {CLEAN} NOT IN (SELECT w FROM tv WHERE lang = 'en')"""),
     "sentence_verdict_ngram": sql("ver", "SELECT doc_id, sent_id, n_tokens, round(bigram_ppl, 4) AS bigram_ppl, round(trigram_ppl, 4) AS trigram_ppl, method, verdict FROM ver"),
-    "alerts_per_sentence": sql("aps", "SELECT * FROM aps"),
-    "agreement_matrix": sql("av", "SELECT count(*) FILTER (WHERE alerted AND verdict = 'Grammatical') AS alert_grammatical, count(*) FILTER (WHERE alerted AND verdict <> 'Grammatical') AS alert_not_grammatical, count(*) FILTER (WHERE NOT alerted AND verdict = 'Grammatical') AS quiet_grammatical, count(*) FILTER (WHERE NOT alerted AND verdict <> 'Grammatical') AS quiet_not_grammatical FROM av"),
-    "agreement_rollup": sql("av", """SELECT alerted::VARCHAR AS alerted, verdict, count(*) AS n FROM av GROUP BY alerted, verdict UNION ALL SELECT alerted::VARCHAR, 'all', count(*) FROM av GROUP BY alerted UNION ALL SELECT 'all', 'all', count(*) FROM av"""),
+    "gate_alerts_per_sentence": sql("aps", "SELECT * FROM aps"),
+    "gate_agreement_matrix": sql("av", "SELECT count(*) FILTER (WHERE alerted AND verdict = 'Grammatical') AS alert_grammatical, count(*) FILTER (WHERE alerted AND verdict <> 'Grammatical') AS alert_not_grammatical, count(*) FILTER (WHERE NOT alerted AND verdict = 'Grammatical') AS quiet_grammatical, count(*) FILTER (WHERE NOT alerted AND verdict <> 'Grammatical') AS quiet_not_grammatical FROM av"),
+    "gate_agreement_rollup": sql("av", """SELECT alerted::VARCHAR AS alerted, verdict, count(*) AS n FROM av GROUP BY alerted, verdict UNION ALL SELECT alerted::VARCHAR, 'all', count(*) FROM av GROUP BY alerted UNION ALL SELECT 'all', 'all', count(*) FROM av"""),
     "boundary_prf_greedy": sql(GREEDY, "SELECT doc_id, sent_id, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM gf WHERE lang = 'en'", capped=f"WHERE gt.lang = 'en' {WHOLE}"),
     "exact_accuracy_greedy": sql(GREEDY, f"SELECT {REPORT} FROM gf WHERE lang = 'en'", capped=f"WHERE gt.lang = 'en' {WHOLE}"),
     "en_es_comparison": sql(GREEDY, f"SELECT lang, {REPORT} FROM gf GROUP BY lang", capped=f"WHERE gt.lang IN ('en', 'es') {WHOLE}"),

@@ -593,8 +593,53 @@ def agreement_matrix(spark, d):
 
 @query
 def agreement_rollup(spark, d):
-    rows = alerted_verdicts(spark, d).rollup("alerted", "verdict").agg(F.count("*").alias("n"))
-    return rows.select(F.coalesce(F.col("alerted").cast("string"), F.lit("all")).alias("alerted"), F.coalesce("verdict", F.lit("all")).alias("verdict"), "n")
+    return verdict.agreement_rollup(alerted_verdicts(spark, d))
+
+
+@query
+def alert_counters(spark, d):
+    """Alerts of the live pipeline by kind: tokens that were split, words corrected, words replaced and windows flagged."""
+    out = live_outputs(spark, d)
+    return live.counters(live.stateless_alerts(out), live.fold_alerts(out, _context_model(spark, d)))
+
+
+@query
+def alert_list(spark, d):
+    """Alerts of each document, newest first."""
+    out = live_outputs(spark, d)
+    return live.newest_first(live.stateless_alerts(out), live.fold_alerts(out, _context_model(spark, d)))
+
+
+def gate_alerts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Words (doc_id, out_idx, word) of English documents typed with merges, and an alert for each that a gate lets through:
+    what the live pipeline looks into, before its kernels decide."""
+    typed, v = simulate.inject_merges(flat(spark, d)), counts.unigrams(train_words(spark, d))
+    w = typed.select("doc_id", F.col("token_idx").alias("out_idx"), F.col("token").alias("word"))
+    one = w.select(F.col("word").alias("token")).distinct()
+    gated = live.segment_gate(one, v).where("gated").select("token", F.lit("SEGMENT").alias("alert_type")).unionByName(live.spell_gate(one, v).select("token", F.lit("SPELL").alias("alert_type")))
+    return w, w.join(gated, w["word"] == gated["token"]).select("doc_id", "out_idx", "alert_type")
+
+
+@query
+def gate_alerts_per_sentence(spark, d):
+    w, alerts = gate_alerts(spark, d)
+    return verdict.alerts_per_sentence(verdict.output_sentences(w), alerts)
+
+
+def gated_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on the sentences as meant, and whether a gate opened while they were typed. Merges never cross sentences."""
+    v = verdict.evaluate(*ngram_scores(spark, d)).select("doc_id", "sent_id", "verdict")
+    return v.join(gate_alerts_per_sentence(spark, d), ["doc_id", "sent_id"]).withColumn("alerted", F.col("n_merge") + F.col("n_spelling") > 0)
+
+
+@query
+def gate_agreement_matrix(spark, d):
+    return verdict.agreement(gated_verdicts(spark, d), F.col("alerted"), F.col("verdict") == "Grammatical")
+
+
+@query
+def gate_agreement_rollup(spark, d):
+    return verdict.agreement_rollup(gated_verdicts(spark, d))
 
 
 @query
