@@ -204,5 +204,39 @@ def parse_sentences(df: DataFrame, g: Grammar, keys: tuple[str, ...] = ("doc_id"
             yield out
 
     parsed = short.mapInPandas(run, f"{kinds}, is_valid boolean, log_prob double, tree string")
-    rest = df.where((F.size("words") <= 0) | (F.size("words") > longest)).select(*keys, F.lit(False).alias("is_valid"), F.lit(float("-inf")).alias("log_prob"), F.lit(None).cast("string").alias("tree"))
-    return parsed.unionByName(rest).withColumn("status", F.when(F.col("is_valid"), "valid").otherwise("unparseable"))
+    parsed = parsed.withColumn("status", F.when(F.col("is_valid"), "valid").otherwise("unparseable"))
+    return parsed.unionByName(unparseable(df.where((F.size("words") <= 0) | (F.size("words") > longest)), keys))
+
+
+def unparseable(rows: DataFrame, keys: tuple[str, ...] = ("doc_id", "sent_id")) -> DataFrame:
+    """The result of parse_sentences for rows that the parser doesn't take."""
+    return rows.select(*keys, F.lit(False).alias("is_valid"), F.lit(float("-inf")).alias("log_prob"), F.lit(None).cast("string").alias("tree"), F.lit("unparseable").alias("status"))
+
+
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """(tree) of bracketed trees in text files: each spans as many lines as its brackets stay open; an outer bracket without a label is taken off.
+
+    A file is read whole, so a treebank comes in files of bounded size, as they are published.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"tree": [t for text in pdf["value"] for t in bracketed(text)]}, dtype="object")
+
+    return spark.read.option("wholetext", True).text(path).mapInPandas(run, "tree string")
+
+
+def bracketed(text: str) -> Iterator[str]:
+    """The trees of a text, on one line each; what stands outside brackets, or in ones never closed, is left out."""
+    depth, parts = 0, []
+    for token in re.findall(r"\(|\)|[^\s()]+", text):
+        if token == ")" and not depth or token not in "()" and not depth:
+            continue
+        depth += (token == "(") - (token == ")")
+        parts.append(token)
+        if not depth:
+            if parts[1] == "(":  # ( (S ...) )
+                parts = parts[1:-1]
+            if parts[1:2] != [")"]:
+                yield re.sub(r"\( ", "(", " ".join(parts)).replace(" )", ")")
+            parts = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams
@@ -35,15 +35,17 @@ def lowered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.transform("tokens", F.lower))
 
 
-def train(rows: DataFrame, n: int, k: float = 0.05, least: int = 1) -> LanguageModel:
-    """Train on sentences with arrays `tokens`; one action counts the vocabulary."""
+def train(rows: DataFrame, n: int, k: float = 0.05, least: int = 1, size: int | None = None) -> LanguageModel:
+    """Train on sentences with arrays `tokens`; one action counts the vocabulary, unless the size of a model of the same
+    rows is given. Contexts are summed where their n-grams lie, so counts are dealt twice and joined with nothing."""
     rows = rows.where(F.size("tokens") > 0)
     vocab = vocabulary(rows, least)
     seqs = lowered(rows) if least <= 1 else known(lowered(rows), vocab)
     names = [f"w{i + 1}" for i in range(n)]
     counts = seqs.select(F.explode(grams(F.col("seq"), n, BOS, EOS)).alias("g")).select("g.*").groupBy(*names).agg(F.count("*").alias("n"))
     contexts = counts.groupBy(*names[:-1]).agg(F.sum("n").alias("ctx"))
-    return LanguageModel(n, k, vocab.count() + 3, vocab, counts.join(contexts, names[:-1]), contexts)
+    probs = counts.withColumn("ctx", F.sum("n").over(Window.partitionBy(*names[:-1])))
+    return LanguageModel(n, k, size or vocab.count() + 3, vocab, probs, contexts)
 
 
 def known(rows: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -58,14 +60,20 @@ def probability(model: LanguageModel, count: Column, ctx: Column) -> Column:
     return (F.coalesce(count, F.lit(0)) + F.lit(model.k)) / (F.coalesce(ctx, F.lit(0)) + F.lit(model.k * model.size))
 
 
-def score(model: LanguageModel, rows: DataFrame, keys: tuple[str, ...] = ("doc_id", "sent_id")) -> DataFrame:
+def score(model: LanguageModel, rows: DataFrame, keys: tuple[str, ...] = ("doc_id", "sent_id"), seen: bool = False) -> DataFrame:
     """(keys, n_tokens, log_prob, ppl) of rows with arrays `seq` that hold only words of the model and <UNK>; an empty one has -inf and inf.
 
     Equal n-grams of a row are joined once; the count and context tables are joined by key, never broadcast by force.
+    seen: these are the sentences the model was trained on, so each n-gram is counted, and its context with it. Else
+    contexts are looked up once for each distinct n-gram that isn't.
     """
     names = [f"w{i + 1}" for i in range(model.n)]
     flat = rows.select(*keys, F.explode(grams(F.col("seq"), model.n, BOS, EOS)).alias("g")).select(*keys, "g.*").groupBy(*keys, *names).agg(F.count("*").alias("times"))
-    hit = flat.join(model.probs.select(*names, "n"), names, "left").join(model.contexts, names[:-1], "left")
+    if seen:
+        hit = flat.join(model.probs, names, "left")
+    else:
+        known = flat.select(*names).distinct().join(model.probs.select(*names, "n"), names, "left").join(model.contexts, names[:-1], "left")
+        hit = flat.join(known, names)
     log = F.sum(F.col("times") * F.log2(probability(model, F.col("n"), F.col("ctx"))))
     scored = hit.groupBy(*keys).agg(log.alias("lp"), (F.sum("times") - 1).cast("long").alias("n_tokens"))
     empty = F.col("n_tokens") == 0

@@ -58,6 +58,19 @@ def trigger_windows(outputs: DataFrame, every: int = 5, width: int = 8) -> DataF
     return o.where((F.col("done") > 0) & (F.col("done") % every == 0) & (F.size("words") > 0)).select("doc_id", F.col("done").cast("long").alias("out_count"), tail.alias("window"))
 
 
+def windows_in_row(rows: DataFrame, every: int = 5, width: int = 8) -> DataFrame:
+    """The same for rows (doc_id, tokens) whose tokens are one output word each: cut from the array, without a shuffle."""
+    n = F.size("tokens")
+    cut = F.transform(F.sequence(F.lit(every), n, F.lit(every)), lambda i: F.struct(i.cast("long").alias("out_count"), F.slice("tokens", F.greatest(i - width, F.lit(0)) + 1, F.least(i, F.lit(width))).alias("window")))
+    return rows.where(n >= every).select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
+
+
+def tumbling_in_row(rows: DataFrame, every: int = 5) -> DataFrame:
+    """tumbling_windows of rows (doc_id, tokens), without a shuffle."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / every)), lambda i: F.struct(i.cast("long").alias("window_id"), F.slice("tokens", (i * every + 1).cast("int"), every).alias("window")))
+    return rows.where(F.size("tokens") > 0).select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
+
+
 def tumbling_windows(tokens: DataFrame, every: int = 5) -> DataFrame:
     """(doc_id, window_id, window): consecutive groups of `every` tokens."""
     rows = tokens.groupBy("doc_id", F.floor(F.col("token_idx") / every).alias("window_id")).agg(F.sort_array(F.collect_list(F.struct("token_idx", "token"))).alias("w"))

@@ -123,11 +123,12 @@ def reconcile(tag: Column | str) -> Column:
 
 
 def coverage(rows: DataFrame, tag: str = "tag") -> DataFrame:
-    """One row: totals and percentages of the three strategies."""
-    s = rows.select(reconcile(tag)["strategy"].alias("s"))
-    n = F.greatest(F.lit(1), F.count("*"))
-    pct = lambda x: (100.0 * F.count_if(F.col("s") == x) / n).alias(f"{x}_pct")
-    return s.agg(F.count("*").alias("total"), *(F.count_if(F.col("s") == x).alias(f"n_{x}") for x in ("direct", "prefix", "default")), pct("direct"), pct("prefix"), pct("default"))
+    """One row: totals and percentages of the three strategies. Each distinct tag is reconciled once."""
+    s = rows.groupBy(F.col(tag).alias("t")).agg(F.count("*").alias("n")).select(reconcile("t")["strategy"].alias("s"), "n")
+    of = lambda x: F.coalesce(F.sum(F.when(F.col("s") == x, F.col("n"))), F.lit(0))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    kinds = ("direct", "prefix", "default")
+    return s.agg(total.alias("total"), *(of(x).alias(f"n_{x}") for x in kinds), *((100.0 * of(x) / F.greatest(F.lit(1), total)).alias(f"{x}_pct") for x in kinds))
 
 
 def morphology(upos: Column | str, feats: Column | str) -> Column:

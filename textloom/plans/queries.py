@@ -174,13 +174,13 @@ def rounded(df: DataFrame, *keep: str) -> DataFrame:
 @query
 def sentence_bigram_ppl(spark, d):
     rows = tok(spark, d)
-    return rounded(language_model.score(language_model.train(rows, 2), language_model.lowered(rows)), "doc_id", "sent_id")
+    return rounded(language_model.score(language_model.train(rows, 2), language_model.lowered(rows), seen=True), "doc_id", "sent_id")
 
 
 @query
 def sentence_trigram_ppl(spark, d):
     rows = tok(spark, d)
-    return rounded(language_model.score(language_model.train(rows, 3), language_model.lowered(rows)), "doc_id", "sent_id")
+    return rounded(language_model.score(language_model.train(rows, 3), language_model.lowered(rows), seen=True), "doc_id", "sent_id")
 
 
 @query
@@ -397,16 +397,15 @@ def correct_nonword_method_a(spark, d):
 
 @query
 def real_word_errors(spark, d):
-    sent = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
-    t = flat(spark, d).withColumns({"prev": F.coalesce(F.lag("token").over(sent), F.lit("<s>")), "next": F.coalesce(F.lead("token").over(sent), F.lit("</s>"))})
+    around = F.transform("tokens", lambda t, i: F.struct(i.cast("long").alias("pos"), t.alias("token"), F.coalesce(F.get("tokens", i - 1), F.lit("<s>")).alias("prev"), F.coalesce(F.get("tokens", i + 1), F.lit("</s>")).alias("next")))
+    t = tok(spark, d).select("doc_id", "sent_id", F.explode(around).alias("x")).select("doc_id", "sent_id", "x.*")
     got = spelling.real_word_errors(t, vocab(spark, d), counts.adjacent(words(spark, d)))
     return got.select("doc_id", "sent_id", "pos", "token", "cand", F.round(F.col("cand_p") / F.col("orig_p"), 4).alias("ratio"))
 
 
 def windows_of(spark: SparkSession, d: str) -> DataFrame:
-    """Trigger windows over the plain tokens of English documents: (doc_id, out_count, window)."""
-    idx = (F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id", "pos")) - 1).cast("long")
-    return simulate.trigger_windows(flat(spark, d).select("doc_id", idx.alias("token_idx"), F.array("token").alias("words")))
+    """Trigger windows over the plain tokens of English documents: (doc_id, out_count, window). Cut from each document's own array."""
+    return simulate.windows_in_row(corpus.document_tokens(docs(spark, d), "en"))
 
 
 @query
@@ -441,8 +440,7 @@ def corrupted_batch(spark, d):
 
 @query
 def tumbling_windows(spark, d):
-    idx = (F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id", "pos")) - 1).cast("long")
-    return simulate.tumbling_windows(flat(spark, d).select("doc_id", idx.alias("token_idx"), "token")).select("doc_id", "window_id", F.array_join("window", " ").alias("window"))
+    return simulate.tumbling_in_row(corpus.document_tokens(docs(spark, d), "en")).select("doc_id", "window_id", F.array_join("window", " ").alias("window"))
 
 
 def scored_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -524,25 +522,27 @@ def pcfg_rules(spark, d):
 
 
 def parses(spark: SparkSession, d: str) -> DataFrame:
-    """Parses of English sentences within the length gate, on the most likely tags of their words."""
+    """Parses of English sentences on the most likely tags of their words; those over the length gate are unparseable."""
     pairs, tags, two, three = tag_tables(spark, d)
     best = tagging.single_word_tag(pairs, tags, three, two).select(F.col("word").alias("w"), tagging.reconcile("tag")["tag"].alias("t"))
     short = tok(spark, d).where(F.size("tokens") <= grammar.LONGEST)
     flat_words = short.select("doc_id", "sent_id", F.posexplode("tokens").alias("i", "token")).withColumn("w", F.lower("token")).join(best, "w", "left")
     rows = flat_words.groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(F.struct("i", "w", F.coalesce("t", F.lit("NN")).alias("t")))).alias("x"))
     rows = rows.select("doc_id", "sent_id", F.transform("x", lambda x: x["w"]).alias("words"), F.transform("x", lambda x: x["t"]).alias("tags"))
-    return grammar.parse_sentences(rows, grammar.grammar(grammar.indexed(grammar.rules(grammar.productions(grammar.trees(spark))))))
+    parsed = grammar.parse_sentences(rows, grammar.grammar(grammar.indexed(grammar.rules(grammar.productions(grammar.trees(spark))))))
+    return parsed.unionByName(grammar.unparseable(tok(spark, d).where(F.size("tokens") > grammar.LONGEST)))
 
 
 @query
 def cky_parse_short(spark, d):
+    """Every English sentence; the parser takes the short ones."""
     return parses(spark, d).select("doc_id", "sent_id", "status", F.round("log_prob", 6).alias("log_prob"), "tree")
 
 
 def ngram_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = tok(spark, d)
-    low = language_model.lowered(rows)
-    return tuple(language_model.score(language_model.train(rows, n), low) for n in (2, 3))
+    low, two = language_model.lowered(rows), language_model.train(rows, 2)
+    return tuple(language_model.score(m, low, seen=True) for m in (two, language_model.train(rows, 3, size=two.size)))
 
 
 def _display(df: DataFrame) -> DataFrame:

@@ -30,6 +30,12 @@ def tokens(docs: DataFrame, lang: str | None = None) -> DataFrame:
     return tokenised(docs, lang).select("doc_id", "lang", "source", "sent_id", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
+def document_tokens(docs: DataFrame, lang: str | None = None) -> DataFrame:
+    """(doc_id, tokens): all tokens of a document in one array, sentence by sentence."""
+    docs = docs.where(F.col("lang") == lang) if lang else docs
+    return docs.select("doc_id", F.flatten(F.transform(split_sentences("text"), split_tokens)).alias("tokens"))
+
+
 def first_sentences(docs: DataFrame, n: int | None, lang: str | None = None) -> DataFrame:
     """The first n sentences in corpus order; None or 0: all."""
     rows = sentences(docs, lang)
@@ -47,16 +53,19 @@ def coin(seed: int, *cols: Column | str, modulus: int = 1000) -> Column:
 def split_documents(docs: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
     """docs with `is_train`: exactly floor(share * n) documents by a fixed draw.
 
-    Only the draw at the border is ranked, so no task sees all rows: the counts of the 10,007 draws are summed, and
-    within the border draw the smallest ids come first.
+    The counts of the 10,007 draws are summed; only the ids of the draw at the border are ranked, smallest first, for the
+    last id that is in. Documents themselves are filtered by these two values where they are read. Rows of one id go together.
     """
     drawn = docs.withColumn("_draw", coin(seed, "doc_id", modulus=10_007))
     counts = drawn.groupBy("_draw").agg(F.count("*").alias("_n"))
     order = Window.orderBy("_draw")  # at most 10,007 rows
     before = counts.select(F.col("_draw").alias("_d"), (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.floor(F.sum("_n").over(Window.partitionBy()) * share).alias("_quota"))
-    rank = F.row_number().over(Window.partitionBy("_draw").orderBy("doc_id"))
-    joined = drawn.join(F.broadcast(before), F.col("_draw") == F.col("_d"))
-    return joined.withColumn("is_train", F.col("_before") + rank <= F.col("_quota")).drop("_draw", "_d", "_before", "_quota")
+    before = before.join(counts.withColumnRenamed("_draw", "_d"), "_d").where("_before < _quota and _before + _n >= _quota")  # one row at most
+    rank = F.row_number().over(Window.partitionBy("_d").orderBy("doc_id"))
+    border = drawn.select("doc_id", "_draw").join(F.broadcast(before), F.col("_draw") == F.col("_d")).withColumn("_rank", rank)
+    edge = border.where("_before + _rank = _quota").agg(F.max("_d").alias("_d"), F.max("doc_id").alias("_last"))  # one row
+    inside = (F.col("_draw") < F.col("_d")) | ((F.col("_draw") == F.col("_d")) & (F.col("doc_id") <= F.col("_last")))
+    return drawn.join(F.broadcast(edge)).withColumn("is_train", F.coalesce(inside, F.lit(False))).drop("_draw", "_d", "_last")
 
 
 def passages(docs: DataFrame, source: str | None, least: int = 5, most: int = 8, seed: int = 42) -> DataFrame:
