@@ -184,6 +184,20 @@ def adapted(df: DataFrame, model: WordModel, column: str = "token") -> DataFrame
     return clean.join(cut, F.col("clean") == F.col("c"), "left").select(column, "clean", F.when(ok, F.col("words")).otherwise(bare).alias("words"), ok.alias("is_split"))
 
 
+def segment_and_tag(df: DataFrame, words: WordModel, tags: TagModel, column: str = "token") -> DataFrame:
+    """(column, words, tags, split_score, single_score) of each distinct token: its words as `adapted` has them, tagged
+    together; a valid split scores 1, a token that stays whole 0, and a single word is the baseline of 0."""
+    cut = adapted(df, words, column).select(F.col(column).alias("_k"), "words", F.col("is_split").cast("double").alias("split_score"))
+    got = tag_sentences(cut, tags, ("_k", "split_score"), "words")
+    return got.select(F.col("_k").alias(column), F.col("tokens").alias("words"), "tags", "split_score", F.lit(0.0).alias("single_score"))
+
+
+def full_pipeline(df: DataFrame, words: WordModel, tags: TagModel, column: str = "token") -> DataFrame:
+    """(column, words, tags) of each distinct string without spaces: segmented, then tagged."""
+    cut = segment_strings(df, words, column).select(F.col(column).alias("_k"), "words")
+    return tag_sentences(cut, tags, ("_k",), "words").select(F.col("_k").alias(column), F.col("tokens").alias("words"), "tags")
+
+
 def greedy_strings(df: DataFrame, vocab: dict | frozenset, column: str = "token", longest: int | None = None) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(frozenset(vocab))
     # No word is longer than the vocabulary's longest, so long strings cost no more a position than short ones.

@@ -83,9 +83,11 @@ def score(model: LanguageModel, rows: DataFrame, keys: tuple[str, ...] = ("doc_i
     )
 
 
-def local_windows(rows: DataFrame, span: int = 2) -> DataFrame:
-    """(doc_id, sent_id, pos, seq): for each token the words up to `span` before and behind it."""
+def local_windows(rows: DataFrame, span: int = 2, replacement: Column | None = None) -> DataFrame:
+    """(doc_id, sent_id, pos, seq): for each token the words up to `span` before and behind it; the token itself gives way
+    to a replacement (of its row) where that isn't null."""
     n = F.size("seq")
     cut = lambda i: F.slice("seq", F.greatest(i - span, F.lit(0)) + 1, F.least(i + span, n - 1) - F.greatest(i - span, F.lit(0)) + 1)
-    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.cast("long").alias("pos"), cut(i).alias("seq")))
+    put = (lambda i, s: s) if replacement is None else (lambda i, s: F.transform(s, lambda w, j: F.when(j == i - F.greatest(i - span, F.lit(0)), F.coalesce(replacement, w)).otherwise(w)))
+    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.cast("long").alias("pos"), put(i, cut(i)).alias("seq")))
     return rows.where(n > 0).select("doc_id", "sent_id", F.explode(windows).alias("x")).select("doc_id", "sent_id", "x.pos", "x.seq")

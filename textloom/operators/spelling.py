@@ -46,11 +46,20 @@ def candidates_b(queries: DataFrame, vocab: DataFrame, index: DataFrame | None =
     return asked.join(offered, "variant").where("w <> q and not (own and whole)").select("q", F.col("w").alias("cand")).distinct()
 
 
+#: Candidate generators by name: (queries, vocab) -> (q, cand).
+STRATEGIES = {"A": candidates_a, "B": candidates_b}
+
+
+def register(name: str, candidates) -> None:
+    """Make a further generator available to correct_nonwords."""
+    STRATEGIES[name] = candidates
+
+
 def correct_nonwords(tokens: DataFrame, vocab: DataFrame, method: str = "B") -> DataFrame:
     """(token, fixed, method) of each distinct token of column `token`: the most frequent candidate, ties to the smaller, in the token's case."""
     q = tokens.select("token").distinct().withColumn("q", strip_edges(F.lower("token")))
     unknown = q.join(vocab.select(F.col("w").alias("q")), "q", "left_anti")
-    found = (candidates_a if method == "A" else candidates_b)(unknown, vocab)
+    found = STRATEGIES[method](unknown, vocab)
     order = Window.partitionBy("q").orderBy(F.desc("n"), "cand")
     best = found.join(vocab.select(F.col("w").alias("cand"), "n"), "cand").withColumn("_r", F.row_number().over(order)).where("_r = 1").select("q", "cand")
     hit = q.join(best, "q", "left")

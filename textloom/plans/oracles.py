@@ -204,6 +204,11 @@ SQL = {
       og AS (SELECT doc_id, sent_id, pos, coalesce(lag(w) OVER (PARTITION BY doc_id, sent_id, pos ORDER BY j), '<s>') AS w1, w AS w2 FROM op),
       s AS (SELECT doc_id, sent_id, pos, count(*) - 1 AS n_tokens, sum(log2((coalesce(n, 0) + 0.05) / (coalesce(c2.ctx, 0) + 0.05 * v))) AS lp FROM og LEFT JOIN lm2 USING (w1, w2) LEFT JOIN c2 USING (w1), size GROUP BY doc_id, sent_id, pos)
       """ + scores("s", "doc_id, sent_id, pos")),
+    "local_window_replaced": sql("lm2 size", """, c2 AS (SELECT w1, any_value(ctx) AS ctx FROM lm2 GROUP BY w1), o AS (SELECT a.doc_id, a.sent_id, a.pos, b.pos AS j, CASE WHEN b.pos = a.pos THEN 'the' ELSE b.w END AS w FROM lt a JOIN lt b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2),
+      op AS (SELECT * FROM o UNION ALL SELECT doc_id, sent_id, pos, max(j) + 1, '</s>' FROM o GROUP BY doc_id, sent_id, pos),
+      og AS (SELECT doc_id, sent_id, pos, coalesce(lag(w) OVER (PARTITION BY doc_id, sent_id, pos ORDER BY j), '<s>') AS w1, w AS w2 FROM op),
+      s AS (SELECT doc_id, sent_id, pos, count(*) - 1 AS n_tokens, sum(log2((coalesce(n, 0) + 0.05) / (coalesce(c2.ctx, 0) + 0.05 * v))) AS lp FROM og LEFT JOIN lm2 USING (w1, w2) LEFT JOIN c2 USING (w1), size GROUP BY doc_id, sent_id, pos)
+      """ + scores("s", "doc_id, sent_id, pos")),
     "word_probability": sql("vocab", "SELECT w, round((n + 1) / (sum(n) OVER () + count(*) OVER ()), 12) AS p FROM vocab"),
     "seg_trigram_probability": sql("three two vocab", "SELECT three.w1, three.w2, w3, round((three.n + 1) / (coalesce(two.n, 0) + (SELECT count(*) FROM vocab) + 1), 12) AS p FROM three LEFT JOIN two ON two.w1 = three.w1 AND two.w2 = three.w2"),
     "segment_candidates": sql("mt tv", """, st AS (SELECT token, unnest(range(0, length(token))) AS start FROM mt), pc AS (SELECT token, start, unnest(range(1, length(token) - start + 1)) AS len FROM st)

@@ -198,6 +198,14 @@ def local_window_logprob(spark, d):
     return rounded(language_model.score(language_model.train(tok(spark, d), 2), language_model.local_windows(rows), keys), *keys)
 
 
+@query
+def local_window_replaced(spark, d):
+    """The windows of local_window_logprob with `the` in each token's place."""
+    rows = language_model.lowered(tok(spark, d))
+    keys = ("doc_id", "sent_id", "pos")
+    return rounded(language_model.score(language_model.train(tok(spark, d), 2), language_model.local_windows(rows, replacement=F.lit("the")), keys), *keys)
+
+
 # Segmentation
 
 
@@ -260,9 +268,22 @@ def segment_adapter(spark, d):
     return got.select("token", F.array_join("words", " ").alias("words"), "is_split")
 
 
+@query
+def segment_and_tag_tokens(spark, d):
+    """Merged held-out tokens as their words and tags."""
+    got = decoding.segment_and_tag(merged_tokens(spark, d), _word_model(spark, d), decoding.tag_model(*train_tag_tables(spark, d)))
+    return got.select("token", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags"), "split_score", "single_score")
+
+
 # Tagging
 
 
+def train_tag_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows = tagging.tagged(corpus.tokenised(split(spark, d).where("is_train")))
+    pairs = tagging.word_tag_counts(rows)
+    return pairs, pairs.groupBy("tag").agg(F.sum("n").alias("n")), tagging.tag_grams(rows, 2), tagging.tag_grams(rows, 3)
+
+
 def tag_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = tagging.tagged(tok(spark, d))
     pairs = tagging.word_tag_counts(rows)
@@ -657,10 +678,13 @@ def interactions(spark, d):
     def parsed(rows: DataFrame) -> DataFrame:
         gate = rows.where((F.size("tokens") <= grammar.LONGEST) & (F.size("tokens") > 0))
         t = decoding.tag_sentences(gate, model).select("doc_id", "sent_id", F.transform("tokens", F.lower).alias("words"), F.transform("tags", lambda x: tagging.reconcile(x)["tag"]).alias("tags"))
-        p = grammar.parse_sentences(t, g).select("doc_id", "sent_id", "is_valid")
+        p = grammar.parse_sentences(t, g).select("doc_id", "sent_id", "is_valid", "log_prob", "status", "tree")
         return rows.select("doc_id", "sent_id", F.array_join("tokens", " ").alias("text")).join(p, ["doc_id", "sent_id"], "left").na.fill(False, ["is_valid"])
 
-    return verdict.interactions(parsed(before), parsed(after))
+    done, low, lm = parsed(after), language_model.lowered(after), corpus.tokenised(split(spark, d).where("is_train"))
+    two = language_model.train(lm, 2)
+    v = verdict.evaluate(*(language_model.score(m, low) for m in (two, language_model.train(lm, 3, size=two.size))), done)
+    return verdict.interactions(parsed(before), done.join(v.select("doc_id", "sent_id", "method"), ["doc_id", "sent_id"]))
 
 
 # Evaluation
@@ -677,6 +701,58 @@ def greedy_rows(spark: SparkSession, d: str, lang: str = "en", longest: int | No
     return gold.join(decoding.greedy_strings(gold, frozenset(v), longest=longest), "token").select("doc_id", "sent_id", "gold", F.col("words").alias("pred"))
 
 
+def joined_sentences(spark: SparkSession, d: str, lang: str = "en") -> DataFrame:
+    """Held-out sentences of alphabetic words (gold), and the same without spaces (token)."""
+    parts = corpus.split_documents(docs(spark, d).where(F.col("lang") == lang))
+    gold = counts.word_arrays(corpus.tokenised(parts.where("not is_train"))).select("doc_id", "sent_id", F.col("words").alias("gold"))
+    return gold.withColumn("token", F.array_join("gold", ""))
+
+
+def viterbi_rows(spark: SparkSession, d: str, longest: int | None = None, limit: int | None = None) -> DataFrame:
+    """Held-out sentences joined and segmented again by the trigram model: (doc_id, sent_id, gold, pred)."""
+    gold = joined_sentences(spark, d)
+    gold = gold.orderBy("doc_id", "sent_id").limit(limit) if limit else gold
+    return gold.join(decoding.segment_strings(gold, _word_model(spark, d), longest=longest), "token").select("doc_id", "sent_id", "gold", F.col("words").alias("pred"))
+
+
+@query
+def exact_accuracy_viterbi(spark, d):
+    r = evaluation.segmentation_report(viterbi_rows(spark, d))
+    return r.select("n", *(F.round(c, 9).alias(c) for c in ("exact", "precision", "recall", "f1")))
+
+
+@query
+def tune_max_word_length_viterbi(spark, d):
+    """The best longest word by the trigram model, over 50 sentences."""
+    model, gold = _word_model(spark, d), joined_sentences(spark, d).orderBy("doc_id", "sent_id").limit(50)
+    reports = []
+    for n in (10, 15, 20, 25, 30):
+        rows = gold.join(decoding.segment_strings(gold, model, longest=n).select("token", F.col("words").alias("pred")), "token")
+        reports.append(evaluation.segmentation_report(rows).withColumn("max_len", F.lit(n)))
+    return evaluation.tuned(reduce(DataFrame.unionByName, reports)).select("max_len", "n", F.round("f1", 9).alias("f1"))
+
+
+@query
+def pos_accuracy_viterbi(spark, d):
+    """Held-out tokens tagged by the trigram model of the training documents."""
+    rows = tagging.tagged(corpus.tokenised(split(spark, d).where("not is_train")))
+    gold = rows.select("doc_id", "sent_id", F.transform("tagged", lambda p: p["tag"]).alias("gold"))
+    got = decoding.tag_sentences(rows, decoding.tag_model(*train_tag_tables(spark, d))).select("doc_id", "sent_id", "tags")
+    both = gold.join(got, ["doc_id", "sent_id"]).select(F.explode(F.arrays_zip("gold", "tags")).alias("x")).select("x.*")
+    return evaluation.tag_accuracy(both, F.col("gold"), F.col("tags")).select("n", "n_right", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query
+def error_source_viterbi(spark, d):
+    """Held-out sentences joined, segmented and tagged by the trigram models: what segmentation lost, and wrong tags on the rest."""
+    gold = joined_sentences(spark, d)
+    got = decoding.full_pipeline(gold, _word_model(spark, d), decoding.tag_model(*train_tag_tables(spark, d)))
+    rows = gold.join(got.select("token", F.col("words").alias("pred"), F.col("tags").alias("pred_tags")), "token")
+    rows = rows.withColumn("gold_tags", F.expr(f"transform(gold, t -> {tagging.PSEUDO_TAG.format(x='t')})"))
+    got = evaluation.error_sources(rows)
+    return got.select("n_words", "n_aligned", "n_segmentation", "n_tagging", F.round("segmentation_pct", 6).alias("segmentation_pct"), F.round("tagging_pct", 6).alias("tagging_pct"))
+
+
 @query
 def boundary_prf_greedy(spark, d):
     s = evaluation.boundary_scores(greedy_rows(spark, d))
@@ -768,6 +844,15 @@ def run_report_json(spark, d):
     return r.select("source", F.to_json(F.struct("source", "sentences", "tokens", "grammatical", "questionable", "ungrammatical")).alias("report"))
 
 
+@query
+def sample_runs(spark, d):
+    """One JSON document for each English document: its sentences by verdict after the live pipeline, and its alerts by kind."""
+    rows = alerted_verdicts(spark, d)
+    n = lambda x: F.count_if(F.col("verdict") == x).alias(x.lower())
+    r = rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), *(F.sum(c).alias(c) for c in ("n_merge", "n_spelling", "n_grammar")), n("Grammatical"), n("Questionable"), n("Ungrammatical"))
+    return r.select("doc_id", F.to_json(F.struct("doc_id", "sentences", "n_merge", "n_spelling", "n_grammar", "grammatical", "questionable", "ungrammatical")).alias("report"))
+
+
 @query
 def quality_contrast(spark, d):
     """Verdicts against the quality label of their documents."""
