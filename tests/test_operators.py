@@ -275,3 +275,106 @@ def test_agreement_covers_all_sentences(spark, typed):
     m = queries.QUERIES["agreement_matrix"](spark, typed).first()
     # "mat." is corrected to "cat" and loses its full stop, so each of the ten documents is one sentence.
     assert sum(m) == 10 and m.alert_grammatical + m.alert_not_grammatical > 0
+
+
+def tag_tables(spark):
+    train = [[("the", "AT"), ("dog", "NN"), ("barked", "VBD")], [("the", "AT"), ("cat", "NN"), ("sat", "VBD")], [("dogs", "NNS"), ("bark", "VB")], [("the", "AT"), ("bark", "NN")]]
+    rows = spark.createDataFrame([([{"word": w, "tag": t} for w, t in s],) for s in train], "tagged array<struct<word:string,tag:string>>")
+    pairs = tagging.word_tag_counts(rows)
+    return pairs, pairs.groupBy("tag").agg(F.sum("n").alias("n")), tagging.tag_grams(rows, 2), tagging.tag_grams(rows, 3)
+
+
+def test_segment_and_tag(spark, model):
+    tags = decoding.tag_model(*tag_tables(spark))
+    df = spark.createDataFrame([("TheCat,",), ("thexcat",), ("?!",), ("thecatsat",)], "token string")
+    got = {r.token: (r.words, r.tags, r.split_score, r.single_score) for r in decoding.segment_and_tag(df, model, tags).collect()}
+    assert got["TheCat,"] == (["the", "cat"], ["AT", "NN"], 1.0, 0.0) and got["thecatsat"][:2] == (["the", "cat", "sat"], ["AT", "NN", "VBD"])
+    assert got["thexcat"][0] == ["thexcat"] and got["thexcat"][2] == 0.0 and got["?!"][0] == ["?!"]
+    one = decoding.full_pipeline(df.where("token = 'thecatsat'"), model, tags).first()
+    assert (one.words, one.tags) == (["the", "cat", "sat"], ["AT", "NN", "VBD"])
+
+
+def test_replaced_window(spark):
+    df = spark.createDataFrame([(1, 0, list("abcdef"), "X"), (2, 0, ["a"], None)], "doc_id long, sent_id long, seq array<string>, r string")
+    got = {(r.doc_id, r.pos): "".join(r.seq) for r in language_model.local_windows(df, replacement=F.col("r")).collect()}
+    assert got == {(1, 0): "Xbc", (1, 1): "aXcd", (1, 2): "abXde", (1, 3): "bcXef", (1, 4): "cdXf", (1, 5): "deX", (2, 0): "a"}
+
+
+def test_unseen_contexts_are_found(spark, rows):
+    """A known context before an unseen word, and a context never seen."""
+    m = language_model.train(rows, 3, 0.1)
+    df = spark.createDataFrame([(1, 0, ["the", "cat", "zebra"]), (2, 0, ["zebra", "zebra"])], "doc_id long, sent_id long, seq array<string>")
+    seqs = {1: ["the", "cat", "zebra"], 2: ["zebra", "zebra"]}
+    count, ctx = {}, {}
+    for s in LM:
+        t = ["<s>", "<s>", *s.split(), "</s>"]
+        for g in zip(t, t[1:], t[2:]):
+            count[g] = count.get(g, 0) + 1
+            ctx[g[:2]] = ctx.get(g[:2], 0) + 1
+    for r in language_model.score(m, df).collect():
+        t = ["<s>", "<s>", *seqs[r.doc_id], "</s>"]
+        want = sum(math.log2((count.get(g, 0) + 0.1) / (ctx.get(g[:2], 0) + 0.1 * m.size)) for g in zip(t, t[1:], t[2:]))
+        assert r.log_prob == pytest.approx(want)
+    whole = language_model.lowered(rows)
+    key = lambda df: sorted((r.sent_id, r.n_tokens, round(r.log_prob, 9)) for r in df.collect())
+    assert key(language_model.score(m, whole, seen=True)) == key(language_model.score(m, whole))
+
+
+def test_strategies(spark):
+    vocab = spark.createDataFrame([("apple", 5), ("ape", 2)], "w string, n long")
+    spelling.register("first", lambda q, v: q.select("q").crossJoin(v.select(F.col("w").alias("cand")).orderBy("w").limit(1)))
+    got = spelling.correct_nonwords(spark.createDataFrame([("zzz",)], "token string"), vocab, "first").first()
+    assert (got.fixed, got.method) == ("ape", "first")
+    with pytest.raises(KeyError):
+        spelling.correct_nonwords(vocab.select(F.col("w").alias("token")), vocab, "none such")
+
+
+def test_alert_reports(spark):
+    a = spark.createDataFrame([(1, 0, 0, "SEGMENT", "ab", "a b"), (1, 5, 6, "SPELL", "teh", "the")], "doc_id long, input_idx long, out_idx long, alert_type string, original string, replacement string")
+    b = spark.createDataFrame([(1, 5, 4, "GRAMMAR", "sea", "see"), (2, 9, 2, "ANOMALY", "x", None)], a.schema)
+    assert live.counters(a, b).first().asDict() == {"n_segment": 1, "n_spell": 1, "n_grammar": 1, "n_anomaly": 1, "n_alerts": 4}
+    assert live.counters(a.limit(0), b.limit(0)).first().n_alerts == 0
+    got = [(r.doc_id, r.nth, r.input_idx, r.alert_type) for r in live.newest_first(a, b).orderBy("doc_id", "nth").collect()]
+    assert got == [(1, 1, 5, "SPELL"), (1, 2, 5, "GRAMMAR"), (1, 3, 0, "SEGMENT"), (2, 1, 9, "ANOMALY")]
+    t = spark.createDataFrame([("token", 2.0), ("token", 4.0)], "kind string, latency_ms double")
+    assert live.latency(t).first().asDict() == {"mean_token": 3.0, "max_token": 4.0, "n_token": 2, "mean_trigger": 0.0, "max_trigger": 0.0, "n_trigger": 0}
+
+
+def test_confusion_matrix(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "a")], "gold string, pred string")
+    assert [tuple(r) for r in evaluation.confusion_matrix(df).collect()] == [("a", 1, 1, 0), ("c", 1, 0, 0)]
+
+
+def test_read_trees(spark, tmp_path):
+    (tmp_path / "a.mrg").write_text("( (S (NP (DT the)\n  (NN dog))\n (VP (VBD barked)) (. .)) )\n\n(S (VP (VB be)))  stray ) \n(X (Y z)\n")
+    got = sorted(r.tree for r in grammar.read_trees(spark, str(tmp_path)).collect())
+    assert got == ["(S (NP (DT the) (NN dog)) (VP (VBD barked)) (. .))", "(S (VP (VB be)))"]
+    assert grammar.productions(grammar.read_trees(spark, str(tmp_path))).count() == 10
+
+
+def test_split_is_exact(spark):
+    for n in (0, 1, 4, 5, 997):
+        df = spark.range(n).select((F.col("id") * 10_007).alias("doc_id"))  # one draw for all: the border holds every id
+        got = [r.doc_id for r in corpus.split_documents(df).where("is_train").collect()]
+        assert sorted(got) == [i * 10_007 for i in range(math.floor(0.8 * n))]
+
+
+def test_windows_in_row(spark):
+    df = spark.createDataFrame([(1, [str(i) for i in range(11)]), (2, ["a"]), (3, [])], "doc_id long, tokens array<string>")
+    flat = df.select("doc_id", F.posexplode("tokens").alias("token_idx", "token"))
+    key = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    assert key(simulate.windows_in_row(df)) == key(simulate.trigger_windows(flat.select("doc_id", "token_idx", F.array("token").alias("words"))))
+    assert key(simulate.tumbling_in_row(df)) == key(simulate.tumbling_windows(flat))
+
+
+def test_long_sentences_are_unparseable(spark):
+    rules = grammar.grammar(grammar.indexed(grammar.rules(grammar.productions(grammar.trees(spark)))))
+    df = spark.createDataFrame([(1, 0, ["the"] * 23, ["DT"] * 23), (1, 1, ["the", "dog", "barked"], ["DT", "NN", "VBD"])], "doc_id long, sent_id long, words array<string>, tags array<string>")
+    assert {(r.sent_id, r.status) for r in grammar.parse_sentences(df, rules).collect()} == {(0, "unparseable"), (1, "valid")}
+
+
+def test_decisions(spark):
+    before = spark.createDataFrame([(1, 0, "a b", False), (1, 1, "same", True), (1, 2, "c", True)], "doc_id long, sent_id long, text string, is_valid boolean")
+    after = spark.createDataFrame([(1, 0, "ab", True, "PCFG Parser"), (1, 1, "Same ", True, "PCFG Parser"), (1, 2, "d", False, "Bigram LM")], "doc_id long, sent_id long, text string, is_valid boolean, method string")
+    got = {r.sent_id: (r.flipped, r.decision_before, r.decision_after, r.decision_changed) for r in verdict.interactions(before, after).collect()}
+    assert got == {0: (True, "Trigram LM", "PCFG Parser", True), 2: (False, "PCFG Parser", "Bigram LM", True)}

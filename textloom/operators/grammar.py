@@ -223,7 +223,7 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"tree": [t for text in pdf["value"] for t in bracketed(text)]}, dtype="object")
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(run, "tree string")
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "tree string")
 
 
 def bracketed(text: str) -> Iterator[str]:
