@@ -495,7 +495,7 @@ def live_outputs(spark: SparkSession, d: str) -> DataFrame:
     """Output words of held-out documents typed with merges, through a model of the training documents."""
     typed = simulate.inject_merges(corpus.tokens(split(spark, d).where("not is_train")))
     v = counts.unigrams(train_words(spark, d))
-    return live.stateless(typed, _word_model(spark, d), v, v)
+    return live.stateless(typed, _word_model(spark, d), v, v).persist()  # alerts and fold read it again
 
 
 @query
@@ -584,8 +584,9 @@ def live_alerts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Final words (doc_id, out_idx, word) and alerts (doc_id, out_idx, alert_type) of the live pipeline over all English
     documents typed with merges, through models of the training documents."""
     v = counts.unigrams(train_words(spark, d))
-    out = live.stateless(simulate.inject_merges(flat(spark, d)), _word_model(spark, d), v, v)
-    folded = live.fold_alerts(out, _context_model(spark, d))
+    # Words and alerts of both kinds are read from these again; lost blocks are computed anew.
+    out = live.stateless(simulate.inject_merges(flat(spark, d)), _word_model(spark, d), v, v).persist()
+    folded = live.fold_alerts(out, _context_model(spark, d)).persist()
     # An anomaly is a grammar alert too: the reference has one type for both.
     kinds = folded.select("doc_id", "out_idx", F.lit("GRAMMAR").alias("alert_type"))
     return corrected_words(out, folded), live.stateless_alerts(out).select("doc_id", "out_idx", "alert_type").unionByName(kinds)
