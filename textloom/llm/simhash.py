@@ -33,6 +33,8 @@ from .common import bounded, cut, each_batch, raw_text, table
 from .graph import components
 
 BLOCKS, FINE, EXACT, CELL = 6, 9, 16, 4096
+#: Fingerprints of over 1 / HOT of all rows (fewer than HOT, whatever the input) are joined by a broadcast.
+HOT = 1000
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -227,13 +229,18 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     src = bounded(df).select(*kept, F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     rows = cut(src.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in src.dtypes[:-1]) + ", f long"))
     # One row a fingerprint: copies are summed within each task first, and never meet each other.
-    classes = cut(rows.groupBy("f").agg(F.min("k").alias("least")))
+    classes = cut(rows.groupBy("f").agg(F.min("k").alias("least"), F.count("*").alias("n")))
     roots = components(links(classes, radius, most))
     joined = roots.join(classes, roots["node"] == classes["f"]).select("f", "root", "least")
     of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = joined.drop("least").join(of_root, "root").select(F.col("f").alias("g"), "component_id")
-    of_class = classes.join(linked, classes["f"] == linked["g"], "left").select("f", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of_class, "f").select(*(F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)), F.col("k").alias(key), "f", "component_id")
+    of_class = classes.join(linked, classes["f"] == linked["g"], "left").select("f", F.coalesce("component_id", "least").alias("component_id"), "n")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    of_class = of_class.withColumn("hot", F.col("n") * HOT > total).drop("n")
+    # Rows of the hot fingerprints stay where they are; only the others are dealt by fingerprint.
+    hot = F.broadcast(of_class.where("hot").select("f", "component_id"))
+    out = rows.join(hot, "f").unionByName(rows.join(hot.select("f"), "f", "left_anti").join(of_class.where("not hot").drop("hot"), "f"))
+    return out.select(*(F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)), F.col("k").alias(key), "f", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
