@@ -114,3 +114,21 @@ def test_components_of_a_long_chain(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components(chain).collect()} == {0}
     assert components(chain.limit(0)).count() == 0
+
+
+def test_frequent_and_rare_fingerprints(spark):
+    """Hot fingerprints are joined apart from the others: every row comes back once either way."""
+    r = random.Random(8)
+    rare = [" ".join(f"w{r.randrange(10**6)}" for _ in range(6)) for _ in range(1500)]
+    t = ["one very common text of many copies"] * 700 + [None] * 40 + rare
+    df = spark.createDataFrame([(i + 1, x) for i, x in enumerate(t)], "doc_id long, text string").repartition(5)
+    fp = {i + 1: simhash(x) for i, x in enumerate(t)}
+    distinct = sorted(set(fp.values()))
+    bits = np.array(distinct, np.uint64)
+    close = [(a, distinct[j]) for i, a in enumerate(distinct) for j in (np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= 3) + i + 1).tolist()]
+    root = groups(close, distinct)
+    least = {}
+    for k in sorted(fp):
+        least.setdefault(root[fp[k]], k)
+    got = [(x.doc_id, x.f % 2**64, x.component_id) for x in near_duplicates(df).collect()]
+    assert sorted(got) == [(k, f, least[root[f]]) for k, f in sorted(fp.items())]
