@@ -604,7 +604,8 @@ def alerted_verdicts(spark: SparkSession, d: str) -> DataFrame:
     a = verdict.alerts_per_sentence(verdict.output_sentences(w), alerts)
     rows = verdict.numbered(w).groupBy("doc_id", "sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("out_idx", "word"))), lambda x: x["word"]).alias("tokens"))
     low, train = language_model.lowered(rows), tok(spark, d)
-    v = verdict.evaluate(*(language_model.score(language_model.train(train, n), low) for n in (2, 3))).select("doc_id", "sent_id", "verdict")
+    two = language_model.train(train, 2)
+    v = verdict.evaluate(*(language_model.score(m, low) for m in (two, language_model.train(train, 3, size=two.size)))).select("doc_id", "sent_id", "verdict")
     return v.join(a, ["doc_id", "sent_id"]).withColumn("alerted", F.col("n_merge") + F.col("n_spelling") > 0)
 
 
@@ -672,7 +673,8 @@ def interactions(spark, d):
     v = counts.unigrams(train_words(spark, d))
     typed = simulate.inject_merges(corpus.tokens(held))
     out = live.stateless(typed, _word_model(spark, d), v, v).join(typed.select("doc_id", "token_idx", "sent_id"), ["doc_id", "token_idx"])
-    after = out.groupBy("doc_id", "sent_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("token_idx", "words"))), lambda x: x["words"])).alias("tokens"))
+    # The sentences after typing are parsed and scored, and their parses read twice; lost blocks are computed anew.
+    after = out.groupBy("doc_id", "sent_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("token_idx", "words"))), lambda x: x["words"])).alias("tokens")).persist()
     model = decoding.tag_model(*tag_tables(spark, d))
     g = grammar.grammar(grammar.indexed(grammar.rules(grammar.productions(grammar.trees(spark)))))
 
@@ -682,7 +684,7 @@ def interactions(spark, d):
         p = grammar.parse_sentences(t, g).select("doc_id", "sent_id", "is_valid", "log_prob", "status", "tree")
         return rows.select("doc_id", "sent_id", F.array_join("tokens", " ").alias("text")).join(p, ["doc_id", "sent_id"], "left").na.fill(False, ["is_valid"])
 
-    done, low, lm = parsed(after), language_model.lowered(after), corpus.tokenised(split(spark, d).where("is_train"))
+    done, low, lm = parsed(after).persist(), language_model.lowered(after), corpus.tokenised(split(spark, d).where("is_train"))
     two = language_model.train(lm, 2)
     v = verdict.evaluate(*(language_model.score(m, low) for m in (two, language_model.train(lm, 3, size=two.size))), done)
     return verdict.interactions(parsed(before), done.join(v.select("doc_id", "sent_id", "method"), ["doc_id", "sent_id"]))
