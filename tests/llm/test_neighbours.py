@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from textloom.llm.neighbours import best, nearest
+from textloom.llm.neighbours import Settings, best, nearest
 
 
 def brute(rows, asked, k=20):
@@ -70,3 +70,16 @@ def test_copies_and_odd_rows(spark):
     assert [i for i, _ in result(nearest(few, few.where("vec_id = 0")))[0]] == [i for i, _ in brute(rows[:5], {0})[0]]
     assert nearest(df.limit(0), df).count() == 0
     assert nearest(df.where("vec_id = 0"), df).count() == 0
+
+
+def test_narrow_beam_is_widened(spark):
+    rows = rows_of(700, 12, 6)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = brute(rows, {i for i, _ in rows if i % 20 == 0})
+
+    def found(least):
+        got = result(nearest(df, df.where("vec_id % 20 = 0"), settings=Settings(degree=8, joined=6, beam=20, block=64, entries=2, least=least)))
+        return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
+
+    narrow, widened = found(0.0), found(0.93)
+    assert narrow < 0.9 <= widened

@@ -10,7 +10,12 @@ precision, until its beam holds nothing unexpanded.
 Nearness is the inner product. While the graph is built, vectors get one more component that makes their norms
 equal, so that nearness in the graph follows it; there they are held in half precision.
 
-Nothing is collected and nothing of the data's size is broadcast; list lengths, beam and blocks are parameters.
+A beam that is wide enough for one table may be too narrow for a larger one, and nodes that are on nobody's list can't
+be met. So each search is measured: a fixed number of its queries is compared with all vectors, and while too few of
+their nearest are found all queries are searched again, with twice the beam on a graph of twice the degree.
+
+Only those probes (their vectors and k scores each) are collected and nothing of the data's size is broadcast; list
+lengths, beam and blocks are parameters.
 
 Defined results: null vectors, zero vectors, vectors with null or non-finite components and, of the others, those
 that haven't the most frequent length (the larger of equally frequent ones) take no part; rows of one id count once
@@ -20,7 +25,7 @@ that haven't the most frequent length (the larger of equally frequent ones) take
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count
 
 import numpy as np
@@ -46,6 +51,10 @@ class Settings:
     first: int = 8
     #: Nodes of largest norm at which every search starts too: large inner products may lie far from the query itself.
     entries: int = 64
+    #: Queries whose results are held against all vectors, and the recall below which beam and degree are doubled (an
+    #: estimate from so many probes strays by about 0.01, so 0.9 is held with a margin).
+    probes: int = 128
+    least: float = 0.93
     seed: int = 5
 
 
@@ -292,6 +301,35 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, se
     return beam.select("q", "x", "s")
 
 
+def recall(found: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, k: int, probes: int) -> float:
+    """The share of the k nearest nodes that the searches found (q, x, s), over `probes` of the starts (fixed by their hash)."""
+    some = starts.orderBy(F.xxhash64("q"), "q").limit(probes)
+    rows = nodes.join(F.broadcast(some), nodes["id"] == some["q"]).select("id", "vec").collect()
+    if not rows:
+        return 1.0
+    ids = np.array([r["id"] for r in rows])
+    asked = np.stack([np.frombuffer(r["vec"], kind) for r in rows]).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.zeros((len(ids), 0))
+        for b in batches:
+            if b.num_rows:
+                s = asked @ matrix(b.column(1), kind).astype(np.float64).T
+                s[ids[:, None] == b.column(0).to_numpy()] = -np.inf
+                top = -np.sort(-np.hstack([top, s]), axis=1)[:, :k]
+        row, at = np.nonzero(np.isfinite(top))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(top[row, at])], names=["p", "s"])
+
+    order = Window.partitionBy("p").orderBy(F.desc("s"))
+    true = bounded(nodes).select("id", "vec").mapInArrow(run, "p long, s double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    floor = true.groupBy("p").agg(F.min("s").alias("floor"), F.count("*").alias("n"))
+    # Sums of the same products in another order differ in their last digits.
+    reached = (F.col("x") != F.col("q")) & (F.col("s") >= F.col("floor") - F.abs("floor") * 1e-9)
+    hits = found.join(F.broadcast(floor), found["q"] == floor["p"]).groupBy("q", "n").agg(F.count_if(reached).alias("hits"))
+    got = hits.agg(F.sum(F.least("hits", "n")), F.sum("n")).first()
+    return got[0] / got[1] if got[1] else 1.0
+
+
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row of df whose id is in queries (column of that name)."""
     rows, kind = vectors(df, key, vector)
@@ -300,7 +338,12 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     of_class = nodes.select(F.col("key128").alias("k2"), F.col("id").alias("c"))
     asked = rows.select("id", "key128").join(queries.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
     asked = cut(asked.join(of_class, asked["key128"] == of_class["k2"]).select(F.col("id").alias("query_id"), F.col("c").alias("q")))
-    found = search(graph, nodes, asked.select("q").distinct(), kind, settings)
+    starts, n = asked.select("q").distinct(), nodes.count()
+    found = search(graph, nodes, starts, kind, settings)
+    while settings.beam < n and recall(found, nodes, starts, kind, k, settings.probes) < settings.least:
+        settings = replace(settings, beam=2 * settings.beam, degree=2 * settings.degree, joined=2 * settings.joined)
+        graph = build_graph(nodes, kind, settings)
+        found = search(graph, nodes, starts, kind, settings)
     # Of a class of equal vectors only the k + 1 smallest ids can be among k nearest.
     small = Window.partitionBy("key128").orderBy("id")
     members = rows.select("id", "key128").withColumn("n", F.row_number().over(small)).where(F.col("n") <= k + 1)
