@@ -275,6 +275,7 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, se
             yield pa.RecordBatch.from_arrays(columns, schema=BEAM)
 
     shards = max(1, -(-nodes.count() // SHARD))
+    tasks = min(shards, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # none without a shard
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
     blank = F.lit(None).cast("binary").alias("vec")
     none = F.lit(0.0).alias("least")
@@ -294,7 +295,7 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, se
         touched = pairs.select(of("y"), "q", "least").distinct().join(asked, "q")
         rows = held.unionByName(touched.select("shard", F.lit(1).alias("what"), F.col("q").alias("one"), F.lit(0).cast("long").alias("two"), "vec", "least"))
         rows = rows.unionByName(pairs.select(of("y"), F.lit(2).alias("what"), F.col("q").alias("one"), F.col("y").alias("two"), blank, none))
-        new = bounded(rows).repartition("shard").sortWithinPartitions("shard", "what").mapInArrow(scored, "q long, x long, s double")
+        new = bounded(rows).repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "what").mapInArrow(scored, "q long, x long, s double")
         old = beam.select("q", "x", "s", (F.col("done") | (F.col("rank") < reach)).alias("done"))
         new = new.select("q", "x", "s", F.lit(False).alias("done"))
         beam = cut(old.unionByName(new).repartition("q").sortWithinPartitions("q").mapInArrow(merged, "q long, x long, s double, done boolean, rank int, least double"))
