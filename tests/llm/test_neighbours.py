@@ -83,3 +83,27 @@ def test_narrow_beam_is_widened(spark):
 
     narrow, widened = found(0.0), found(0.93)
     assert narrow < 0.9 <= widened
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_shards_are_searched_without_a_row_for_each_pair(spark, clustered):
+    """Rows in shuffles follow rows and results, not the pairs that graph and search compare; small far clusters are found."""
+    rows = rows_of(2000, 12, 8)
+    if clustered:
+        middle = [v for _, v in rows_of(50, 12, 9)]
+        rows = [(i, [float(np.float32(20 * a + 0.1 * b)) for a, b in zip(middle[i % 50], v)]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    before = shuffled(spark)
+    got = result(nearest(df, df.where("vec_id % 20 = 0"), settings=Settings(few=500)))
+    assert shuffled(spark) - before < 100_000  # 100 queries, 4 shards, 21 results: 8,400 a search; each row a few times
+    want = brute(rows, {i for i, _ in rows if i % 20 == 0})
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9

@@ -1,21 +1,22 @@
-"""Approximate nearest neighbours: an NN-descent graph, searched greedily.
+"""Approximate nearest neighbours: NN-descent graphs, searched greedily.
 
-Equal vectors form one class, so copies never crowd a list. Classes get first neighbours from a few random orders
-of the space (sign codes of random hyperplanes): blocks of adjacent rows are compared whole. NN-descent then joins
-each node with its neighbours and reverse neighbours and lets these compare each other, which finds neighbours of
-neighbours; only pairs that improve a list leave the task. A search keeps a beam for each query, expands its best
-unexpanded nodes by joining them with the graph, and scores what it meets on the original vectors, in double
-precision, until its beam holds nothing unexpanded.
+Equal vectors form one class, so copies never crowd a list. Classes are dealt over shards by a hash of their id, and a
+task holds one shard at a time, so that no pair of nodes is ever a row of a shuffle. A shard's nodes get first neighbours
+from a few random orders of the space (sign codes of random hyperplanes): blocks of adjacent rows are compared whole.
+NN-descent then lets each node's neighbours and reverse neighbours compare each other, which finds neighbours of
+neighbours. Every query is searched in every shard: it starts at the nodes beside it in the random orders, at those of
+largest norm and, in its own shard, at itself, keeps a beam, and expands the best unexpanded nodes until its beam holds
+none. What a shard has found is scored on the original vectors, in double precision; the best of all shards count.
 
-Nearness is the inner product. While the graph is built, vectors get one more component that makes their norms
-equal, so that nearness in the graph follows it; there they are held in half precision.
+Nearness is the inner product. While a graph is built, vectors get one more component that makes their norms equal, so
+that nearness in the graph follows it; graph and beams use single precision, on vectors scaled by the largest norm.
 
 A beam that is wide enough for one table may be too narrow for a larger one, and nodes that are on nobody's list can't
-be met. So each search is measured: a fixed number of its queries is compared with all vectors, and while too few of
-their nearest are found all queries are searched again, with twice the beam on a graph of twice the degree.
+be met. So a fixed number of queries is searched first and held against all vectors: while too few of their nearest are
+found the beam is doubled, every second time on a graph of twice the degree. All queries are then searched once.
 
-Only those probes (their vectors and k scores each) are collected and nothing of the data's size is broadcast; list
-lengths, beam and blocks are parameters.
+Graphs cost time in proportion to the rows, searches in proportion to queries times shards. Only the probes' vectors and
+scores are collected and nothing of the data's size is broadcast; list lengths, beam, blocks and shards are parameters.
 
 Defined results: null vectors, zero vectors, vectors with null or non-finite components and, of the others, those
 that haven't the most frequent length (the larger of equally frequent ones) take no part; rows of one id count once
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import count
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,19 +46,31 @@ class Settings:
     orders: int = 6
     block: int = 256
     rounds: int = 2
-    #: Beam of a query, all of which is expanded in the end; best nodes looked at in the first hop (four times as many in
-    #: each that follows).
-    beam: int = 320
-    first: int = 8
-    #: Nodes of largest norm at which every search starts too: large inner products may lie far from the query itself.
+    #: Beam of a query in a shard, all of which is expanded in the end; nodes expanded at a time.
+    beam: int = 64
+    step: int = 8
+    #: Nodes of largest norm at which every search starts too (large inner products may lie far from the query itself), and
+    #: nodes beside the query in each random order.
     entries: int = 64
-    #: Queries whose results are held against all vectors, and the recall below which beam and degree are doubled (an
-    #: estimate from so many probes strays by about 0.01, so 0.9 is held with a margin).
+    beside: int = 8
+    #: Most nodes and bytes of vectors of a shard; tables of over `few` nodes have up to `spread` smaller shards.
+    shard: int = 65_536
+    shard_bytes: int = 32 << 20
+    few: int = 4096
+    spread: int = 8
+    #: Queries whose results are held against all vectors, and the recall below which the beam is doubled (an estimate
+    #: from so many probes strays by about 0.01, so 0.9 is held with a margin).
     probes: int = 128
     least: float = 0.93
     seed: int = 5
 
 
+def ranks(owner: np.ndarray) -> np.ndarray:
+    """Of rows sorted by owner: the position of each among its owner's."""
+    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    return np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
+
+
 def best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
     """Indices of each owner's `most` best others, each once; ties to the smaller other."""
     order = np.lexsort((-score, other, owner))
@@ -66,40 +79,7 @@ def best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, most: int) ->
     fresh[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
     order = order[fresh]
     order = order[np.lexsort((other[order], -score[order], owner[order]))]
-    o = owner[order]
-    start = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
-    rank = np.arange(len(o)) - np.repeat(start, np.diff(np.append(start, len(o))))
-    return order[rank < most]
-
-
-def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables that never cut a run of equal values of the first column (the rows come sorted by it)."""
-    rest: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(0).to_numpy()
-        starts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        if rest and rest[-1].column(0)[-1].as_py() != k[0]:
-            starts = np.concatenate([[0], starts])
-        if len(starts):
-            at = int(starts[-1])
-            done = [*rest, b.slice(0, at)] if at else rest
-            yield pa.Table.from_batches(done)
-            rest = [b.slice(at)]
-        else:
-            rest.append(b)
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-EDGE = pa.schema([("u", pa.int64()), ("x", pa.int64()), ("s", pa.float32())])
-EDGES = "u long, x long, s float"
-
-
-def edges(u: np.ndarray, x: np.ndarray, s: np.ndarray, most: int) -> pa.RecordBatch:
-    at = best(u, x, s, most)
-    return pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(x[at]), pa.array(s[at].astype(np.float32))], schema=EDGE)
+    return order[ranks(owner[order]) < most]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -107,16 +87,6 @@ def matrix(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
 
 
-def kept_lists(rows: DataFrame, most: int) -> DataFrame:
-    """Of edges (u, x, s): the `most` best of each u."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches):
-            yield edges(*(t.column(i).to_numpy() for i in range(3)), most)
-
-    return rows.repartition("u").sortWithinPartitions("u").mapInArrow(run, EDGES)
-
-
 def vectors(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, type]:
     """(id, key128, vec binary, norm2) of the rows that take part."""
     wide = dict(df.dtypes)[vector] != "array<float>"
@@ -144,177 +114,316 @@ def vectors(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, type]:
     return cut(rows.withColumn("key128", F.md5("vec"))), kind
 
 
+def lists_of(ids: np.ndarray, s: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's candidates (-1: none) and scores the `most` best, each once, best first."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    ids, s = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
+    s[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+    s[ids < 0] = -np.inf
+    if s.shape[1] > most:
+        at = np.argpartition(-s, most - 1, axis=1)[:, :most]
+        ids, s = np.take_along_axis(ids, at, 1), np.take_along_axis(s, at, 1)
+    at = np.argsort(-s, axis=1, kind="stable")
+    ids, s = np.take_along_axis(ids, at, 1), np.take_along_axis(s, at, 1)
+    ids[s == -np.inf] = -1
+    return ids, s
+
+
+def paired(owner: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Order of rows by owner, then by a number below 2**32."""
+    return np.argsort(owner.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64), kind="stable")
+
+
+def falling(s: np.ndarray) -> np.ndarray:
+    """Numbers below 2**32 that fall as single-precision scores rise."""
+    b = s.astype(np.float32).view(np.uint32)
+    return np.where(b >> 31, b, ~(b | np.uint32(1 << 31)))
+
+
+#: Pairs that are merged into the lists at a time; products of a batch of hoods; lists merged at a time.
+PAIRS, PRODUCTS, LISTS = 2_000_000, 1_200_000, 8192
+
+
+def improve(ids: np.ndarray, score: np.ndarray, u: np.ndarray, x: np.ndarray, s: np.ndarray) -> None:
+    """Takes pairs (u, x) of this score into the lists of u, in place."""
+    k = ids.shape[1]
+    order = paired(u, falling(s))
+    u, x, s = u[order], x[order], s[order]
+    rank = ranks(u)
+    near = rank < 2 * k  # a pair may come a few times
+    u, x, s, rank = u[near], x[near], s[near], rank[near]
+    first = np.flatnonzero(rank == 0)
+    row = np.cumsum(rank == 0) - 1
+    for i in range(0, len(first), LISTS):
+        own = u[first[i : i + LISTS]]
+        a, z = first[i], first[i + LISTS] if i + LISTS < len(first) else len(u)
+        c = np.full((len(own), k + 1 + rank[a:z].max()), -1, np.int32)
+        cs = np.full(c.shape, -np.inf, np.float32)
+        c[:, :k], cs[:, :k] = ids[own], score[own]
+        c[row[a:z] - i, k + rank[a:z]], cs[row[a:z] - i, k + rank[a:z]] = x[a:z], s[a:z]
+        ids[own], score[own] = lists_of(c, cs, k)
+
+
+def turned(ids: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Of each node the `most` nearest nodes that have it on their list (-1: none)."""
+    u, at = np.nonzero(ids >= 0)
+    x = ids[u, at]
+    order = paired(x, falling(score[u, at]))
+    u, x = u[order], x[order]
+    rank = ranks(x)
+    near = rank < most
+    out = np.full((len(ids), most), -1, np.int32)
+    out[x[near], rank[near]] = u[near]
+    return out
+
+
+def levelled(v: np.ndarray) -> np.ndarray:
+    """Vectors scaled by the largest norm, with one more component that makes their norms 1 (single precision)."""
+    v = v.astype(np.float64)
+    v /= np.abs(v).max()  # squares stay finite
+    norm = np.einsum("ij,ij->i", v, v)
+    top = norm.max()
+    return (np.hstack([v, np.sqrt(np.maximum(0, top - norm))[:, None]]) / np.sqrt(top)).astype(np.float32)
+
+
+class Orders:
+    """Random orders of a shard's nodes: by sign codes of hyperplanes, then along one more direction."""
+
+    def __init__(self, h: np.ndarray, settings: Settings) -> None:
+        self.bits = (len(h) // settings.block).bit_length()
+        self.planes = np.random.default_rng(settings.seed).normal(size=(settings.orders, self.bits + 1, h.shape[1])).astype(np.float32)
+        self.keys, self.orders = [], []
+        for t in range(settings.orders):
+            key = self.key(h, t)
+            order = np.argsort(key, kind="stable")
+            self.keys.append(key[order])
+            self.orders.append(order.astype(np.int32))
+
+    def key(self, h: np.ndarray, t: int) -> np.ndarray:
+        p = (h @ self.planes[t].T).astype(np.float64)
+        along = p[:, self.bits]
+        return ((p[:, : self.bits] > 0) << np.arange(self.bits)).sum(axis=1) + 0.5 + 0.5 * along / (1 + np.abs(along))
+
+    def beside(self, h: np.ndarray, most: int) -> np.ndarray:
+        """Nodes next to these vectors in the orders; a row for each vector."""
+        out = []
+        for t, (key, order) in enumerate(zip(self.keys, self.orders, strict=True)):
+            at = np.searchsorted(key, self.key(h, t))[:, None] + np.arange(-(most // 2), most - most // 2)
+            out.append(order[np.clip(at, 0, len(order) - 1)])
+        return np.concatenate(out, axis=1)
+
+
+def descend(h: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Lists and scores of the nearest neighbours of each row of h, found by NN-descent."""
+    n, k, block = len(h), settings.degree, settings.block
+    ids, score = np.full((n, k), -1, np.int32), np.full((n, k), -np.inf, np.float32)
+    for order in Orders(h, settings).orders:
+        pieces = max(1, round(n / block))
+        for i in range(pieces):
+            own = order[n * i // pieces : n * (i + 1) // pieces]
+            m = min(k, len(own) - 1)
+            if m < 1:
+                continue
+            s = h[own] @ h[own].T
+            np.fill_diagonal(s, -np.inf)
+            near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            ids[own], score[own] = lists_of(np.hstack([ids[own], own[near]]), np.hstack([score[own], np.take_along_axis(s, near, 1)]), k)
+    for _ in range(settings.rounds if n > block else 0):
+        hoods = np.hstack([np.arange(n, dtype=np.int32)[:, None], ids[:, : settings.joined], turned(ids, score, settings.joined)])
+        hoods.sort(axis=1)
+        hoods[:, 1:][hoods[:, 1:] == hoods[:, :-1]] = -1
+        width = hoods.shape[1]
+        many = max(1, PRODUCTS // width**2)
+        held: list[tuple[np.ndarray, ...]] = []
+        for i in range(0, n, many):
+            g = hoods[i : i + many]
+            x = h[g]
+            s = x @ x.transpose(0, 2, 1)
+            s[:, np.arange(width), np.arange(width)] = -np.inf
+            hit = s > np.where(g < 0, np.inf, score[g, -1])[:, :, None]
+            hit &= (g >= 0)[:, None, :]
+            c, a, b = np.nonzero(hit)
+            held.append((g[c, a], g[c, b], s[c, a, b]))
+            if i + many >= n or sum(len(x[0]) for x in held) > PAIRS:
+                improve(ids, score, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+    return ids, score
+
+
+def linked(ids: np.ndarray) -> np.ndarray:
+    """The lists, and of each node a few more that have it on theirs, first those which fewest lists lead to."""
+    n, k = ids.shape
+    u, at = np.nonzero(ids >= 0)
+    x = ids[u, at].astype(np.int64)
+    led = np.bincount(x, minlength=n)
+    more = ~np.isin(x * n + u, u * n + x)
+    u, x = u[more], x[more]
+    order = paired(x, led[u])
+    u, x = u[order], x[order]
+    rank = ranks(x)
+    few = rank < max(1, k // 4)
+    out = np.full((n, max(1, k // 4)), -1, np.int32)
+    out[x[few], rank[few]] = u[few]
+    return np.hstack([ids, out])
+
+
+class Shard:
+    """A shard's vectors and graph, for searches."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, near: np.ndarray, settings: Settings) -> None:
+        self.ids, self.v, self.near, self.settings = ids, v, near, settings
+        h = levelled(v)
+        self.orders = Orders(h, settings)
+        self.entries = np.argsort(h[:, -1], kind="stable")[: settings.entries].astype(np.int32)
+        self.h = np.ascontiguousarray(h[:, :-1])
+
+    def search(self, q: np.ndarray, asked: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of asked, id, score): the `most` best nodes found for each vector, q being its id."""
+        w = asked.astype(np.float64)
+        w = w / np.abs(w).max(axis=1)[:, None]
+        w = (w / np.sqrt(np.einsum("ij,ij->i", w, w))[:, None]).astype(np.float32)
+        at = np.minimum(np.searchsorted(self.ids, q), len(self.ids) - 1)
+        own = np.where(self.ids[at] == q, at, -1).astype(np.int32)
+        beside = self.orders.beside(np.hstack([w, np.zeros((len(w), 1), np.float32)]), self.settings.beside)
+        first = np.hstack([np.broadcast_to(self.entries, (len(w), len(self.entries))), beside, own[:, None]])
+        found, _ = self.beams(w, first)
+        found = found[:, : 2 * most]  # in single precision their order is near enough
+        row, col = np.nonzero(found >= 0)
+        x = found[row, col]
+        s = np.einsum("ij,ij->i", asked[row].astype(np.float64), self.v[x].astype(np.float64))
+        keep = best(row, self.ids[x], s, most)
+        return row[keep], self.ids[x[keep]], s[keep]
+
+    def beams(self, w: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes and scores of each beam, best first, after a greedy search from the nodes in `new` (-1: none)."""
+        n, many, beam, step = len(self.h), len(w), self.settings.beam, self.settings.step
+        met = np.full(many * n, -1, np.int32)
+        ids, s, done = np.full((many, beam), -1, np.int32), np.full((many, beam), -np.inf, np.float32), np.ones((many, beam), bool)
+        while True:  # a node is met once for a query, so this ends
+            row, col = np.nonzero(new >= 0)
+            key = row * n + new[row, col]
+            key = key[met[key] < 0]
+            number = np.arange(len(key), dtype=np.int32)
+            met[key] = number
+            key = key[met[key] == number]  # of a node reached from several, one
+            row, y = np.divmod(key, n)
+            ends = np.searchsorted(row, np.arange(many + 1))
+            got, h = np.empty(len(y), np.float32), self.h[y]
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                np.dot(h[ends[i] : ends[i + 1]], w[i], out=got[ends[i] : ends[i + 1]])
+            good = got > s[row, -1]
+            row, y, got = row[good], y[good], got[good]
+            if len(row):
+                rank = ranks(row)
+                wide = (many, beam + 1 + int(rank.max()))
+                c, cs, cd = np.full(wide, -1, np.int32), np.full(wide, -np.inf, np.float32), np.ones(wide, bool)
+                c[:, :beam], cs[:, :beam], cd[:, :beam] = ids, s, done
+                c[row, beam + rank], cs[row, beam + rank], cd[row, beam + rank] = y, got, False
+                order = np.argsort(-cs, axis=1, kind="stable")[:, :beam]
+                ids, s, done = (np.take_along_axis(x, order, 1) for x in (c, cs, cd))
+            picked = ~done & (np.cumsum(~done, axis=1) <= step)
+            row, col = np.nonzero(picked)
+            if not len(row):
+                return ids, s
+            done |= picked
+            new = np.full((many, step, self.near.shape[1]), -1, np.int32)
+            new[row, ranks(row)] = self.near[ids[row, col]]
+            new = new.reshape(many, -1)
+
+
 def build_graph(nodes: DataFrame, kind: type, settings: Settings = Settings()) -> DataFrame:
-    """Edges (u, x, s): the neighbours of each node (id, vec, norm2)."""
-    n, top = nodes.agg(F.count("*"), F.max("norm2")).first()
-    bits = max(0, int(n // settings.block).bit_length()) if n else 0
-    k, block, orders, seed = settings.degree, settings.block, settings.orders, settings.seed
-    schema = pa.schema([("t", pa.int32()), ("code", pa.int64()), ("at", pa.float64()), ("id", pa.int64()), ("h", pa.binary())])
+    """(shard, id, vec, near): nodes (id, vec) dealt over shards, and their neighbours, as positions among a shard's ids."""
+    n, wide = nodes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
+    most = max(1, min(settings.shard, settings.shard_bytes // (wide or 1)))
+    shards = max(1, -(-n // most), min(settings.spread, -(-n // settings.few)))
+    schema = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("vec", pa.binary()), ("near", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in by_cell(batches):
+            t = pa.Table.from_batches(list(parts))
+            h = levelled(matrix(t.column(2), kind))
+            near = linked(descend(h, settings)[0])
+            for i in range(0, len(near), 4000):
+                part = t.slice(i, 4000)
+                lists = pa.array([x.tobytes() for x in near[i : i + 4000]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists), shard, np.int32)), *(part.column(j).combine_chunks() for j in (1, 2)), lists], schema=schema)
+
+    dealt = nodes.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vec")
+    tasks = min(shards, TASKS)
+    dealt = bounded(dealt).repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "id")
+    return cut(dealt.mapInArrow(run, "shard int, id long, vec binary, near binary"))
 
-    def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = matrix(b.column(1), kind).astype(np.float64) if b.num_rows else np.zeros((0, 1))
-            more = np.sqrt(np.maximum(0, top - b.column(2).to_numpy()))
-            h = (np.hstack([v, more[:, None]]) / np.sqrt(top)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in h], pa.binary())], names=["id", "h"])
 
-    halves = cut(bounded(nodes).select("id", "vec", "norm2").mapInArrow(half, "id long, h binary"))
+#: Most tasks of a stage; queries that a task searches in a shard, and how many it searches together at most.
+TASKS, SLICE, TOGETHER = 2000, 16_384, 64
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Runs of the first column, which the rows come sorted by. A run is to be read before the next."""
+
+    def split() -> Iterator[tuple[int, pa.RecordBatch]]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            h = matrix(b.column(1), np.float16).astype(np.float32)
-            if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(orders, bits + 1, h.shape[1])).astype(np.float32)
-            for t in range(orders):
-                p = h @ planes[t].T
-                code = ((p[:, :bits] > 0) << np.arange(bits)[::-1]).sum(axis=1).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), t, np.int32)), pa.array(code), pa.array(p[:, bits].astype(np.float64)), b.column(0), b.column(1)], schema=schema)
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted along an order, cut into blocks whose rows all meet."""
-        for t in whole_runs(batches):  # a run is one order's share of the partition
-            ids, h = t.column(3).to_numpy(), matrix(t.column(4), np.float16).astype(np.float32)
-            pieces = max(1, round(len(ids) / block))
-            for i in range(pieces):
-                a, b = len(ids) * i // pieces, len(ids) * (i + 1) // pieces
-                x = h[a:b]
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
-                m = min(k, b - a - 1)
-                if m < 1:
-                    continue
-                near = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                yield edges(np.repeat(ids[a:b], m), ids[a:b][near].ravel(), np.take_along_axis(s, near, 1).ravel(), k)
-
-    laid = halves.mapInArrow(coded, "t int, code long, at double, id long, h binary")
-    graph = cut(kept_lists(laid.repartitionByRange("t", "code", "at").sortWithinPartitions("t", "code", "at").mapInArrow(compared, EDGES), k))
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches):
-            u, ids, least = (t.column(i).to_numpy() for i in (0, 1, 3))
-            h = matrix(t.column(2), np.float16).astype(np.float32)
-            starts = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(u)], strict=True):
-                x = h[a:b]
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
-                i, j = np.nonzero(s > least[a:b, None])
-                if len(i):
-                    out.append((ids[a:b][i], ids[a:b][j], s[i, j]))
-            if out:
-                yield edges(*(np.concatenate(c) for c in zip(*out, strict=True)), k)
+            cell = b.column(0).to_numpy()
+            starts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            yield from ((int(cell[i]), b.slice(i, j - i)) for i, j in zip(starts[:-1], starts[1:], strict=True) if j > i)
+
+    for cell, parts in groupby(split(), key=lambda x: x[0]):
+        yield cell, (b for _, b in parts)
+
+
+def search(graph: DataFrame, asked: DataFrame, kind: type, most: int, settings: Settings = Settings()) -> DataFrame:
+    """(q, x, s): the `most` best nodes found for each vector of asked (q, vec); a node q itself is among them."""
+    shards = graph.agg(F.max("shard")).first()[0]
+    if shards is None:
+        return graph.select(F.col("id").alias("q"), F.col("id").alias("x"), F.lit(0.0).alias("s"))
+    shards += 1
+    slices = max(1, -(-asked.count() // SLICE))
+    cells = lambda shard, part: (F.lit(slices) * shard + part).cast("int").alias("cell")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = graph.select("*", each(slices).alias("slice")).select(cells(F.col("shard"), F.col("slice")), F.lit(0).alias("what"), "id", "vec", "near")
+    queries = asked.select(F.col("q").alias("id"), "vec", F.pmod(F.xxhash64("q"), F.lit(slices)).alias("slice"), each(shards).alias("shard"))
+    queries = queries.select(cells(F.col("shard"), F.col("slice")), F.lit(1).alias("what"), "id", "vec", F.lit(None).cast("binary").alias("near"))
 
-    for _ in range(settings.rounds if n > block else 0):
-        forth = kept_lists(graph, settings.joined)
-        back = kept_lists(graph.select(F.col("x").alias("u"), F.col("u").alias("x"), "s"), settings.joined)
-        own = halves.select(F.col("id").alias("u"), F.col("id").alias("x"))
-        pairs = forth.select("u", "x").unionByName(back.select("u", "x")).unionByName(own).distinct()
-        floor = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
-        known = halves.join(floor, halves["id"] == floor["u"], "left").select("id", "h", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
-        hood = pairs.join(known, pairs["x"] == known["id"]).select("u", "x", "h", "least")
-        found = bounded(hood).repartition("u").sortWithinPartitions("u").mapInArrow(met, EDGES)
-        graph = cut(kept_lists(graph.unionByName(found), k))
-    return graph
-
-
-BEAM = pa.schema([("q", pa.int64()), ("x", pa.int64()), ("s", pa.float64()), ("done", pa.bool_()), ("rank", pa.int32()), ("least", pa.float64())])
-#: Nodes of a shard, whose vectors one task holds at a time; pairs that it scores at a time.
-SHARD, PAIRS = 4096, 50_000
-
-
-def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, settings: Settings = Settings()) -> DataFrame:
-    """(q, x, s): the beam of every start node q after a greedy search for its own vector; q itself is in it.
-
-    A hop joins the open nodes of all beams with the graph: those among the best few at first, of the whole beam later,
-    so that a beam is full of good nodes before it is expanded widely. The pairs (q, y) it reaches go to the shard of y,
-    and each query's vector goes once to each shard that it touches, with the score below which its beam takes nothing.
-    """
-    width = settings.beam + 1
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches):  # rows by shard, then nodes (0), queries (1), pairs (2)
-            shard, what, one, two, least = (t.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5))
-            vec = t.column(4).combine_chunks()
-            for c in np.unique(shard):
-                at = [np.flatnonzero((shard == c) & (what == w)) for w in range(3)]
-                if not len(at[2]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in by_cell(batches):
+            nodes, shard = [], None
+            for b in parts:
+                what = b.column(1).to_numpy()
+                at = int(np.searchsorted(what, 1))
+                if at:
+                    nodes.append(b.slice(0, at))
+                if at == len(what) or not nodes and shard is None:
                     continue
-                tables = []
-                for w in range(2):
-                    order = at[w][np.argsort(one[at[w]], kind="stable")]
-                    tables.append((one[order], matrix(vec.take(pa.array(order)), kind).astype(np.float64), least[order]))
-                (ids, v, _), (asked, w, low) = tables
-                # A pair met from several open nodes is scored once.
-                met = np.unique(np.searchsorted(asked, one[at[2]]) * len(ids) + np.searchsorted(ids, two[at[2]]))
-                found = []
-                for i in range(0, len(met), PAIRS):
-                    q, y = np.divmod(met[i : i + PAIRS], len(ids))
-                    s = np.einsum("ij,ij->i", w[q], v[y])
-                    ok = s > low[q]
-                    found.append((asked[q[ok]], ids[y[ok]], s[ok]))
-                q, y, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                keep = best(q, y, s, width)
-                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(y[keep]), pa.array(s[keep])], names=["q", "x", "s"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches):
-            q, x, s, done = (t.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            order = np.argsort(~done, kind="stable")  # of a node met twice, the marked row counts
-            q, x, s, done = q[order], x[order], s[order], done[order]
-            at = best(q, x, s, width)
-            o = q[at]
-            first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-            counts = np.diff(np.append(first, len(o)))
-            rank = np.arange(len(o)) - np.repeat(first, counts)
-            least = np.repeat(np.where(counts >= width, s[at][first + counts - 1], -np.inf), counts)
-            columns = [pa.array(o), pa.array(x[at]), pa.array(s[at]), pa.array(done[at], pa.bool_()), pa.array(rank.astype(np.int32)), pa.array(least)]
-            yield pa.RecordBatch.from_arrays(columns, schema=BEAM)
-
-    shards = max(1, -(-nodes.count() // SHARD))
-    tasks = min(shards, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # none without a shard
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
-    blank = F.lit(None).cast("binary").alias("vec")
-    none = F.lit(0.0).alias("least")
-    held = nodes.select(of("id"), F.lit(0).alias("what"), F.col("id").alias("one"), F.lit(0).cast("long").alias("two"), "vec", none)
-    asked = cut(starts.join(nodes.select("id", "vec", "norm2"), starts["q"] == F.col("id")).select("q", "vec", "norm2"))
-    beam = asked.select("q", F.col("q").alias("x"), F.col("norm2").alias("s"), F.lit(False).alias("done"), F.lit(0).alias("rank"), F.lit(float("-inf")).alias("least"))
-    tops = [r["id"] for r in nodes.orderBy(F.desc("norm2"), "id").select("id").limit(settings.entries).collect()]
-    for hop in count():  # a node is expanded once for a query, so this ends
-        reach = min(settings.beam, settings.first << 2 * min(hop, 16))
-        open_ = beam.where((~F.col("done")) & (F.col("rank") < reach))
-        if reach == settings.beam and open_.isEmpty():
-            break
-        pairs = open_.join(graph, open_["x"] == graph["u"]).select("q", graph["x"].alias("y"), "least")
-        if hop == 0 and tops:
-            pairs = pairs.unionByName(starts.select("q", F.explode(F.array(*(F.lit(i).cast("long") for i in tops))).alias("y"), F.lit(float("-inf")).alias("least")).where("y <> q"))
-        pairs = cut(pairs)
-        touched = pairs.select(of("y"), "q", "least").distinct().join(asked, "q")
-        rows = held.unionByName(touched.select("shard", F.lit(1).alias("what"), F.col("q").alias("one"), F.lit(0).cast("long").alias("two"), "vec", "least"))
-        rows = rows.unionByName(pairs.select(of("y"), F.lit(2).alias("what"), F.col("q").alias("one"), F.col("y").alias("two"), blank, none))
-        new = bounded(rows).repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "what").mapInArrow(scored, "q long, x long, s double")
-        old = beam.select("q", "x", "s", (F.col("done") | (F.col("rank") < reach)).alias("done"))
-        new = new.select("q", "x", "s", F.lit(False).alias("done"))
-        beam = cut(old.unionByName(new).repartition("q").sortWithinPartitions("q").mapInArrow(merged, "q long, x long, s double, done boolean, rank int, least double"))
-    return beam.select("q", "x", "s")
-
-
-def recall(found: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, k: int, probes: int) -> float:
-    """The share of the k nearest nodes that the searches found (q, x, s), over `probes` of the starts (fixed by their hash)."""
-    some = starts.orderBy(F.xxhash64("q"), "q").limit(probes)
-    rows = nodes.join(F.broadcast(some), nodes["id"] == some["q"]).select("id", "vec").collect()
-    if not rows:
-        return 1.0
-    ids = np.array([r["id"] for r in rows])
-    asked = np.stack([np.frombuffer(r["vec"], kind) for r in rows]).astype(np.float64)
+                if shard is None:
+                    t = pa.Table.from_batches(nodes)
+                    nodes = []
+                    shard = Shard(t.column(2).to_numpy(), matrix(t.column(3), kind), matrix(t.column(4), np.int32), settings)
+                    del t
+                b = b.slice(at)
+                together = max(1, min(TOGETHER, (8 << 20) // len(shard.ids)))
+                for i in range(0, b.num_rows, together):
+                    some = b.slice(i, together)
+                    q = some.column(2).to_numpy()
+                    row, x, s = shard.search(q, matrix(some.column(3), kind), most)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(x), pa.array(s)], names=["q", "x", "s"])
+
+    tasks = min(shards * slices, TASKS)
+    rows = bounded(held.unionByName(queries)).repartitionById(tasks, F.pmod("cell", F.lit(tasks))).sortWithinPartitions("cell", "what", "id")
+    found = rows.mapInArrow(run, "q long, x long, s double")
+    order = Window.partitionBy("q").orderBy(F.desc("s"), "x")
+    return cut(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n"))
+
+
+def floors(nodes: DataFrame, probes: DataFrame, kind: type, k: int) -> DataFrame:
+    """(p, floor, n): of each probe (q, vec), collected here, the least score of its k nearest nodes, and their number."""
+    rows = probes.collect()
+    ids = np.array([r["q"] for r in rows], np.int64)
+    asked = np.stack([np.frombuffer(r["vec"], kind) for r in rows]).astype(np.float64) if rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.zeros((len(ids), 0))
         for b in batches:
-            if b.num_rows:
+            if b.num_rows and len(ids):
                 s = asked @ matrix(b.column(1), kind).astype(np.float64).T
                 s[ids[:, None] == b.column(0).to_numpy()] = -np.inf
                 top = -np.sort(-np.hstack([top, s]), axis=1)[:, :k]
@@ -323,28 +432,35 @@ def recall(found: DataFrame, nodes: DataFrame, starts: DataFrame, kind: type, k:
 
     order = Window.partitionBy("p").orderBy(F.desc("s"))
     true = bounded(nodes).select("id", "vec").mapInArrow(run, "p long, s double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    floor = true.groupBy("p").agg(F.min("s").alias("floor"), F.count("*").alias("n"))
+    return cut(true.groupBy("p").agg(F.min("s").alias("floor"), F.count("*").alias("n")))
+
+
+def recall(found: DataFrame, floor: DataFrame) -> float:
+    """The share of the probes' nearest nodes that searches found (q, x, s)."""
     # Sums of the same products in another order differ in their last digits.
     reached = (F.col("x") != F.col("q")) & (F.col("s") >= F.col("floor") - F.abs("floor") * 1e-9)
     hits = found.join(F.broadcast(floor), found["q"] == floor["p"]).groupBy("q", "n").agg(F.count_if(reached).alias("hits"))
-    got = hits.agg(F.sum(F.least("hits", "n")), F.sum("n")).first()
-    return got[0] / got[1] if got[1] else 1.0
+    got, n = hits.agg(F.sum(F.least("hits", "n"))).first()[0], floor.agg(F.sum("n")).first()[0]
+    return (got or 0) / n if n else 1.0
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row of df whose id is in queries (column of that name)."""
     rows, kind = vectors(df, key, vector)
     nodes = cut(rows.groupBy("key128").agg(F.min(F.struct("id", "vec", "norm2")).alias("r")).select("key128", "r.*"))
-    graph = build_graph(nodes, kind, settings)
     of_class = nodes.select(F.col("key128").alias("k2"), F.col("id").alias("c"))
     asked = rows.select("id", "key128").join(queries.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
     asked = cut(asked.join(of_class, asked["key128"] == of_class["k2"]).select(F.col("id").alias("query_id"), F.col("c").alias("q")))
-    starts, n = asked.select("q").distinct(), nodes.count()
-    found = search(graph, nodes, starts, kind, settings)
-    while settings.beam < n and recall(found, nodes, starts, kind, k, settings.probes) < settings.least:
-        settings = replace(settings, beam=2 * settings.beam, degree=2 * settings.degree, joined=2 * settings.joined)
-        graph = build_graph(nodes, kind, settings)
-        found = search(graph, nodes, starts, kind, settings)
+    starts = cut(nodes.join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("q"), "vec"))
+    graph, n = build_graph(nodes, kind, settings), nodes.count()
+    probes = starts.orderBy(F.xxhash64("q"), "q").limit(settings.probes)
+    floor, narrow = floors(nodes, probes, kind, k), settings.beam
+    while settings.beam < n and recall(search(graph, probes, kind, k + 1, settings), floor) < settings.least:
+        settings = replace(settings, beam=2 * settings.beam)
+        if settings.beam >= 4 * narrow:
+            settings, narrow = replace(settings, degree=2 * settings.degree, joined=2 * settings.joined), settings.beam
+            graph = build_graph(nodes, kind, settings)
+    found = search(graph, starts, kind, k + 1, settings)
     # Of a class of equal vectors only the k + 1 smallest ids can be among k nearest.
     small = Window.partitionBy("key128").orderBy("id")
     members = rows.select("id", "key128").withColumn("n", F.row_number().over(small)).where(F.col("n") <= k + 1)
