@@ -13,7 +13,7 @@ that nearness in the graph follows it; graph and beams use single precision, on
 
 A beam that is wide enough for one table may be too narrow for a larger one, and nodes that are on nobody's list can't
 be met. So a fixed number of queries is searched first and held against all vectors: while too few of their nearest are
-found the beam is doubled, every second time on a graph of twice the degree. All queries are then searched once.
+found the beam grows by half, and once it is eight times as wide the degree is doubled. All queries are then searched once.
 
 Graphs cost time in proportion to the rows, searches in proportion to queries times shards. Only the probes' vectors and
 scores are collected and nothing of the data's size is broadcast; list lengths, beam, blocks and shards are parameters.
@@ -53,12 +53,12 @@ class Settings:
     #: nodes beside the query in each random order.
     entries: int = 64
     beside: int = 8
-    #: Most nodes and bytes of vectors of a shard; tables of over `few` nodes have up to `spread` smaller shards.
-    shard: int = 65_536
+    #: Most list entries and bytes of vectors of a shard; tables of over `few` nodes have up to `spread` smaller shards.
+    listed: int = 1 << 21
     shard_bytes: int = 32 << 20
     few: int = 4096
     spread: int = 8
-    #: Queries whose results are held against all vectors, and the recall below which the beam is doubled (an estimate
+    #: Queries whose results are held against all vectors, and the recall below which the beam is widened (an estimate
     #: from so many probes strays by about 0.01, so 0.9 is held with a margin).
     probes: int = 128
     least: float = 0.93
@@ -334,7 +334,7 @@ class Shard:
 def build_graph(nodes: DataFrame, kind: type, settings: Settings = Settings()) -> DataFrame:
     """(shard, id, vec, near): nodes (id, vec) dealt over shards, and their neighbours, as positions among a shard's ids."""
     n, wide = nodes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
-    most = max(1, min(settings.shard, settings.shard_bytes // (wide or 1)))
+    most = max(1, min(settings.listed // settings.degree, settings.shard_bytes // (wide or 1)))
     shards = max(1, -(-n // most), min(settings.spread, -(-n // settings.few)))
     schema = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("vec", pa.binary()), ("near", pa.binary())])
 
@@ -456,8 +456,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     probes = starts.orderBy(F.xxhash64("q"), "q").limit(settings.probes)
     floor, narrow = floors(nodes, probes, kind, k), settings.beam
     while settings.beam < n and recall(search(graph, probes, kind, k + 1, settings), floor) < settings.least:
-        settings = replace(settings, beam=2 * settings.beam)
-        if settings.beam >= 4 * narrow:
+        settings = replace(settings, beam=settings.beam + max(1, settings.beam // 2))
+        if settings.beam >= 8 * narrow:
             settings, narrow = replace(settings, degree=2 * settings.degree, joined=2 * settings.joined), settings.beam
             graph = build_graph(nodes, kind, settings)
     found = search(graph, starts, kind, k + 1, settings)
