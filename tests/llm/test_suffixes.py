@@ -85,6 +85,21 @@ def test_common_periodic_passage(spark):
     assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got), key=repr) == brute(rows, 60)
 
 
+@pytest.mark.parametrize("both", [False, True])
+def test_copies_around_crowded_passages(spark, both):
+    """Copies of a text in two Arrow batches, around a passage that is crowded in the first, or in both."""
+    window, r = 60, random.Random(11)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    passages = [text(44) for _ in range(20)]
+    copied = [text(12) + p + text(12) for p in passages]
+    crowd = lambda: [text(12) + p + text(12) for p in passages for _ in range(6)]
+    first, second = copied + crowd(), copied + (crowd() if both else [])
+    rows = list(enumerate([*first, *second]))
+    parts = spark.sparkContext.parallelize([rows[: len(first)], rows[len(first) :]], 2).flatMap(lambda x: x)
+    got = remove_repeats(spark.createDataFrame(parts, "doc_id long, text string"), window=window, gram=24, most=2).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got), key=repr) == brute(rows, window)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
