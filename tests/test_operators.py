@@ -405,3 +405,56 @@ def test_rule_tables_equal_those_of_tagged_arrays(spark):
     assert of(tagging.bigrams_of(three)) == of(tagging.tag_grams(arrays, 2))
     assert of(tagging.tags_of(three)) == of(tagging.word_tag_counts(arrays).groupBy("tag").agg(F.sum("n").alias("n")))
     assert of(tagging.tokens_tagged(df)) == sorted((p.word.lower(), p.tag) for r in arrays.collect() for p in r.tagged)
+
+
+def test_scores_by_exchange(spark, monkeypatch):
+    """Against plain counting: many chunks and buckets, tokens like the markers, rows without words, contexts never seen."""
+    import random
+    from collections import Counter
+
+    from textloom.operators import exchange, language_model
+
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(30)] + ["<s>", "</s>", "the", "é", ""]
+    made = lambda n: [[rng.choice(pool) for _ in range(rng.choice([0, 1, 2, 5, 40]))] for _ in range(n)]
+    train, ask = made(300), [*made(60), ["never", "seen"]]
+    frame = lambda x: spark.createDataFrame([(7, i, s, s) for i, s in enumerate(x)], "doc_id long, sent_id long, tokens array<string>, seq array<string>").repartition(3, "sent_id")
+    monkeypatch.setattr(exchange, "CHUNK", 200)
+    monkeypatch.setattr(exchange, "BUCKET", 300)
+    two = language_model.train(frame(train), 2)
+    three = language_model.train(frame(train), 3, like=two)
+    size = len({w.lower() for s in train for w in s}) + 3
+
+    def brute(n, seqs):
+        pad = lambda s: ["<s>"] * (n - 1) + s + ["</s>"]
+        cut = lambda s: [tuple(pad(s)[i : i + n]) for i in range(len(s) + 1)]
+        grams = Counter(g for s in train if s for g in cut(s))
+        ctx = Counter()
+        for g, m in grams.items():
+            ctx[g[:-1]] += m
+        return [sum(math.log2((grams[g] + 0.05) / (ctx[g[:-1]] + 0.05 * size)) for g in cut(s)) for s in seqs]
+
+    for rows, seen in ((train, True), (ask, False)):
+        rows = [s for s in rows if s or not seen]
+        got = {r.sent_id: r for r in language_model.score_both(two, three, frame(rows), seen=seen).collect()}
+        for i, (s, a, b) in enumerate(zip(rows, brute(2, rows), brute(3, rows), strict=True)):
+            assert got[i].n_tokens == len(s)
+            assert (got[i].bigram_score, got[i].trigram_score) == ((-math.inf, -math.inf) if not s else pytest.approx((a, b), abs=1e-9))
+    for put in (None, "the"):
+        want = {}
+        for i, s in enumerate(ask):
+            windows = [[put if put and x == j else s[x] for x in range(max(0, j - 2), min(len(s), j + 3))] for j in range(len(s))]
+            want |= {(i, j): lp for j, lp in enumerate(brute(2, windows))}
+        got = {(r.sent_id, r.pos): r.log_prob for r in language_model.score_windows(two, frame(ask), put=put).collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-9) for x in want)
+
+
+def test_common_ngrams_cost_an_entry_a_chunk(spark):
+    """One pair in every row was one key of a join; its rows all went to one task."""
+    import pyarrow as pa
+
+    from textloom.operators import exchange
+
+    t = pa.table({"sent_id": pa.array(range(5000)), "seq": [["of", "the"]] * 5000, "role": pa.array([3] * 5000, pa.int32())})
+    sent = list(exchange._chunk(t, 0, 4, (2, 3), "<s>", "</s>", None, None))
+    assert sum(exchange._unzipped(pa.py_buffer(x[3])).size // exchange.WIDTH for x in sent if x[2] == 1) == 3 + 4 + 3  # trigrams; pairs, (<s>, <s>) among them; contexts
