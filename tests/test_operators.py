@@ -458,3 +458,50 @@ def test_common_ngrams_cost_an_entry_a_chunk(spark):
     t = pa.table({"sent_id": pa.array(range(5000)), "seq": [["of", "the"]] * 5000, "role": pa.array([3] * 5000, pa.int32())})
     sent = list(exchange._chunk(t, 0, 4, (2, 3), "<s>", "</s>", None, None))
     assert sum(exchange._unzipped(pa.py_buffer(x[3])).size // exchange.WIDTH for x in sent if x[2] == 1) == 3 + 4 + 3  # trigrams; pairs, (<s>, <s>) among them; contexts
+
+
+def test_stored_models_decode_like_dictionaries(spark, words, model, monkeypatch):
+    """Models of any size: the driver gathers no row of them."""
+    whole = decoding.StoredWordModel
+    one, two, three = counts.unigrams(words), counts.bigrams(words), counts.count_grams(words, F.col("words"), 3)
+    monkeypatch.setattr(decoding, "MODEL_ROWS", 2)
+    held = decoding.stored_word_model(one, two, three)
+    assert isinstance(held, whole) and (held.total, held.longest, held.size) == (model.total, model.longest, model.size)
+    texts = ["thecatsat", "atthemat", "thexcat", "qqq", "thedogbarkedatthecat", "é", ""]
+    for longest in (None, 3):
+        local = held.local(texts, longest)
+        assert [decoding.segment(t, local, longest) for t in texts] == [decoding.segment(t, model, longest) for t in texts]
+    assert held.known({"cat", "xyz"}) == {"cat"}
+    df = spark.createDataFrame([(t,) for t in texts], "token string")
+    of = lambda m: sorted(map(str, decoding.adapted(df, m).collect()))
+    assert of(held) == of(model)
+    monkeypatch.undo()
+    rows = spark.createDataFrame([([("a", t), ("b", "X"), ("a", "Y")],) for t in ("X", "Y", "Z", "Z")], "tagged array<struct<word:string,tag:string>>")
+    pairs = tagging.word_tag_counts(rows)
+    tables = pairs, pairs.groupBy("tag").agg(F.sum("n").alias("n")), tagging.tag_grams(rows, 2), tagging.tag_grams(rows, 3)
+    full, stored = decoding.tag_model(*tables), decoding.stored_tag_model(*tables)
+    for s in (["a", "b"], ["new", "a", "a"], ["b"]):
+        assert decoding.viterbi(s, stored.local(set(s))) == decoding.viterbi(s, full)
+
+
+def test_stored_context_folds_like_dictionaries(spark):
+    """The fold's model of any size: the same alerts from tables as from dictionaries."""
+    import random
+
+    from textloom.operators import language_model
+
+    rng = random.Random(5)
+    pool = ["the", "see", "sea", "to", "too", "tea", "aab", "ab", "é", "éa", "bees", "bee", "a", "seas", "tow", "two"]
+    seqs = [[rng.choice(pool) for _ in range(rng.randint(1, 12))] for _ in range(80)]
+    df = spark.createDataFrame([(i // 8, i % 8, s) for i, s in enumerate(seqs)], "doc_id long, sent_id long, tokens array<string>")
+    rows = counts.word_arrays(df)
+    one, two, lm = counts.unigrams(rows), counts.adjacent(rows), language_model.train(df, 3)
+    c = decoding.collected
+    full = live.ContextModel(c(one, "w"), c(two, "w1", "w2"), c(lm.probs, "w1", "w2", "w3"), c(lm.contexts, "w1", "w2", value="ctx"), lm.size)
+    held = live.context_model(one, two, lm)
+    for w in [*pool, "zz", "be", "aa", "eas"]:
+        assert set(held.near(w)) == full.near(w)
+    outputs = spark.createDataFrame([(d, i, [rng.choice([*pool, "Sea,", "zzz"])]) for d in range(4) for i in range(60)], "doc_id long, token_idx long, words array<string>")
+    config = live.EditorConfig(most_ppl=20.0, ratio=2.0)
+    of = lambda m: sorted(map(str, live.fold_alerts(outputs, m, config).collect()))
+    assert of(held) == of(full) and any("GRAMMAR" in x for x in of(full)) and any("ANOMALY" in x for x in of(full))
