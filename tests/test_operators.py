@@ -505,3 +505,13 @@ def test_stored_context_folds_like_dictionaries(spark):
     config = live.EditorConfig(most_ppl=20.0, ratio=2.0)
     of = lambda m: sorted(map(str, live.fold_alerts(outputs, m, config).collect()))
     assert of(held) == of(full) and any("GRAMMAR" in x for x in of(full)) and any("ANOMALY" in x for x in of(full))
+
+
+def test_tuning_gathers_the_vocabulary_once(spark, monkeypatch):
+    from textloom.plans import queries
+
+    gathered = []
+    collected = decoding.collected
+    monkeypatch.setattr(decoding, "collected", lambda *a, **b: gathered.append(a) or collected(*a, **b))
+    assert queries.tune_max_word_length_greedy(spark, "/root/testdata/sf0.001").count() == 1
+    assert len(gathered) == 1
